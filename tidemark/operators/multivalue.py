@@ -22,7 +22,7 @@ PLACEHOLDERS = ("n/a", "n.a.", "n / a", "none", "null", "unknown", "tbd", "not a
 #: Bits a character of a spelled value, bits that announce a value the code book lacks, bits a delimiter or quote of
 #: the dialect, bits a delimiter or quote that a value still holds (codes are those of a value's words), bits a quote
 #: at a value's end whose partner lies in another value.
-CHAR_BITS, NEW_BITS, MARK_BITS, LEFT_BITS, TORN_BITS = 4.7, 16.0, 1.0, 6.0, 60.0
+CHAR_BITS, NEW_BITS, MARK_BITS, LEFT_BITS, TORN_BITS = 4.7, 16.0, 1.0, 6.0, 120.0
 
 # A number: thousands in groups of three, a decimal comma or point, a fraction or a mixed fraction.
 _NUMBER = re.compile(r"(?<![\d.,/])(?:\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+,\d+|\d+\.\d+)(?![\d]|[.,/]\d)|(?<![\d/])\d+ \d+/\d+(?!\d)|(?<![\d/])\d+/\d+(?![\d/])")
