@@ -45,7 +45,7 @@ def plan_cells(counts: np.ndarray, keys: list[tuple], size: int, wants: dict, se
     weight = size * n / total
     for _ in range(60):
         for d in range(len(DIMS)):
-            for (dim, b), (_, share) in wants.items():
+            for (dim, b), (_, share, _) in wants.items():
                 if dim == d and (own := weight[members[dim, b]].sum()) > 0:
                     weight[members[dim, b]] *= min(size * share / 1000, n[members[dim, b]].sum()) / own
             outside = ~np.any([members[w] for w in wants if w[0] == d] or [np.zeros(len(keys), bool)], axis=0)
@@ -64,37 +64,48 @@ def plan_cells(counts: np.ndarray, keys: list[tuple], size: int, wants: dict, se
     ends = np.floor(np.cumsum(weight) - start + 1e-9).astype(np.int64)
     take = np.diff(np.concatenate([[int(np.floor(-start))], ends]))
     take = np.clip(take, 0, counts)
-    need = {w: min(int(lo), int(counts[members[w]].sum())) for w, (lo, _) in wants.items()}
-    have = {w: int(take[members[w]].sum()) for w in wants}
-    of = [[w for w in wants if members[w][i]] for i in range(len(keys))]
-
-    def add(i: int, k: int) -> None:
-        take[i] += k
-        for w in of[i]:
-            have[w] += k
-
-    def spare(also: list) -> int:
-        """A cell that can give a row without a bucket falling below its need; ``also``: buckets that get one back."""
-        fits = [i for i in range(len(keys)) if take[i] > 0 and all(have[w] - 1 >= need[w] or w in also for w in of[i])]
-        return max(fits, key=lambda i: (min([have[w] - need[w] for w in of[i]], default=10**9), take[i], -i), default=-1)
-
-    while take.sum() < min(size, counts.sum()):
-        open_ = [i for i in range(len(keys)) if take[i] < counts[i]]
-        add(max(open_, key=lambda i: (sum(have[w] < need[w] for w in of[i]), len(of[i]), counts[i] - take[i], -i)), 1)
-    while take.sum() > size:
-        i = spare([])
-        add(i if i >= 0 else int(np.argmax(take)), -1)
-    stuck: set = set()
-    while short := [w for w in wants if have[w] < need[w] and w not in stuck]:
-        w = max(short, key=lambda w: (need[w] - have[w], w))
-        gain = [i for i in np.flatnonzero(members[w]) if take[i] < counts[i]]
-        i = max(gain, key=lambda i: (sum(have[x] < need[x] for x in of[i]), counts[i] - take[i], -i), default=-1)
-        j = spare(of[i]) if i >= 0 else -1
-        if i < 0 or j < 0 or i == j or w in of[j]:
-            stuck.add(w)
-            continue
-        add(i, 1)
-        add(j, -1)
+    # bucket of each cell in each dimension (one more row, without need, for cells in no bucket of it)
+    order = list(wants)
+    bucket = np.full((len(DIMS), len(keys)), len(order))
+    for k, w in enumerate(order):
+        bucket[w[0], members[w]] = k
+    there = np.array([counts[members[w]].sum() for w in order] + [0], dtype=np.int64)
+    need = np.minimum([*(wants[w][0] for w in order), 0], there)
+    floor = np.minimum([*(wants[w][2] for w in order), 0], there)
+
+    def surplus(need: np.ndarray = need) -> np.ndarray:
+        have = np.array([take[members[w]].sum() for w in order] + [0], dtype=np.int64)
+        return np.append((have - need)[:-1], np.iinfo(np.int64).max)
+
+    while (gap := int(min(size, counts.sum()) - take.sum())) > 0:
+        short = (surplus()[bucket] < 0).sum(axis=0)
+        i = max(np.flatnonzero(take < counts), key=lambda i: (short[i], (bucket[:, i] < len(order)).sum(), counts[i] - take[i], -i))
+        take[i] += min(gap, counts[i] - take[i], max(1, gap // 8))
+    while (over := int(take.sum() - size)) > 0:
+        least = surplus()[bucket].min(axis=0)
+        j = max(np.flatnonzero(take > 0), key=lambda j: (least[j], take[j], -j))
+        take[j] -= min(over, take[j], max(1, over // 8))
+    for level in (floor, need):  # the minimum of small buckets comes before the shares
+        stuck: set = set()
+        while True:
+            extra = surplus(level)
+            open_ = [k for k in np.flatnonzero(extra < 0) if k not in stuck]
+            if not open_:
+                break
+            k = min(open_, key=lambda k: (extra[k], k))
+            gains = [i for i in np.flatnonzero(members[order[k]]) if take[i] < counts[i]]
+            for i in sorted(gains, key=lambda i: (-(extra[bucket[:, i]] < 0).sum(), take[i] - counts[i], i)):
+                # what a cell can give: its rows, down to the need of each of its buckets that doesn't get them back
+                room = np.where(bucket == bucket[:, [i]], np.iinfo(np.int64).max, extra[bucket]).min(axis=0)
+                room = np.where(bucket[order[k][0]] == k, 0, np.minimum(room, take))
+                j = int(np.argmax(room))
+                if room[j] > 0:
+                    many = int(min(room[j], -extra[k], counts[i] - take[i]))
+                    take[i] += many
+                    take[j] -= many
+                    break
+            else:
+                stuck.add(k)
     return take
 
 
@@ -132,7 +143,7 @@ def draw(products: DataFrame, targets: DataFrame, seed: str = SEED) -> tuple[Dat
         own = sorted((r for r in rows if r.plan_id == plan), key=lambda r: (r.dim_name or "", r.bucket or ""))
         size = int(counts.sum()) * (own[0].sample_permille or 0) // 1000
         need = {id(r): max(r.min_rows or 0, -(-size * (r.target_permille or 0) // 1000)) for r in own}
-        wants = {(DIMS.index(r.dim_name), r.norm): (need[id(r)], r.target_permille or 0) for r in own if r.dim_name in DIMS and r.norm}
+        wants = {(DIMS.index(r.dim_name), r.norm): (need[id(r)], r.target_permille or 0, r.min_rows or 0) for r in own if r.dim_name in DIMS and r.norm}
         take = plan_cells(counts, keys, size, wants, f"{seed}:{plan}")
         picks += [(plan, *c[:3], int(s), int(n), int(m)) for c, s, n, m in zip(cells, starts, counts, take, strict=True) if m]
         for r in own:
