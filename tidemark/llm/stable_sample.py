@@ -37,8 +37,7 @@ def numbered_products(products: DataFrame) -> DataFrame:
 
 
 def stable_sample(products: DataFrame, chosen: int = CHOSEN, block: int = BLOCK, seed: str = SEED) -> DataFrame:
-    """The products at the chosen positions of each block of ``block`` sequence numbers: parent_asin,
-    first_loaded_at, seq.
+    """The products at the chosen positions of each block of ``block`` sequence numbers: parent_asin, seq.
 
     The share is chosen / block exactly in every full block; in the last, unfilled block the positions are chosen
     as if it were full, so what comes in later never changes them. Repeated rows, other cases and white space of
@@ -55,4 +54,4 @@ def stable_sample(products: DataFrame, chosen: int = CHOSEN, block: int = BLOCK,
             out[own] = chosen_positions(int(b), block, chosen, seed)[places[own]]
         return pd.Series(out)
 
-    return numbered_products(products).filter(is_chosen("seq"))
+    return numbered_products(products).filter(is_chosen("seq")).select("parent_asin", "seq")
