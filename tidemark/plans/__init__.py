@@ -1,0 +1,9 @@
+"""Query modules; each has QUERIES (name to callable) and ORACLES (name to SQL)."""
+
+from importlib import import_module
+
+NAMES = ("general",)
+
+
+def modules() -> list:
+    return [import_module(f"tidemark.plans.{name}") for name in NAMES]
