@@ -35,12 +35,15 @@ def expand(text: str) -> str:
     return used.sub(lambda m: meant[m[1]], text)
 
 
+def letters(text: str) -> str:
+    """Accent commands replaced by their letters without accent."""
+    return _LETTER.sub(lambda m: m[1], _ACCENT.sub(lambda m: m[1] or m[2], text))
+
+
 def plain(text: str) -> str:
     """``text`` in folded form, with markup replaced by spaces."""
     if "\\" in text:
-        text = expand(text)
-        text = _ACCENT.sub(lambda m: m[1] or m[2], text)
-        text = _LETTER.sub(lambda m: m[1], text)
+        text = letters(expand(text))
     return fold(_MARKUP.sub(lambda m: "" if m[0][0] == "-" or m[0] == "\\-" else " ", text))
 
 
