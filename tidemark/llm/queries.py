@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tidemark.engine import table
-from tidemark.llm import canonical, conversations, leakage, quota_sample, stable_sample, stuffing, tokenizer
+from tidemark.llm import canonical, conversations, leakage, product_match, quota_sample, stable_sample, stuffing, tokenizer
 
 _TRIM = r"regexp_replace({0}, '^[\s\p{{Z}}\x{{85}}\x{{1c}}-\x{{1f}}\x{{0b}}]+|[\s\p{{Z}}\x{{85}}\x{{1c}}-\x{{1f}}\x{{0b}}]+$', '', 'g')"
 _UNSEEN = r"regexp_replace({0}, '[\s\p{{Z}}\p{{Cc}}\p{{Cf}}\x{{34f}}\x{{115f}}\x{{1160}}\x{{17b4}}\x{{17b5}}\x{{2800}}\x{{3164}}\x{{ffa0}}\x{{fe00}}-\x{{fe0f}}]+', '', 'g')"
@@ -42,6 +42,18 @@ def p5_conversations(spark, sf_dir):
     return conversations.conversations(table(spark, sf_dir, "turns"))
 
 
+def _listings(spark, sf_dir):
+    return table(spark, sf_dir, "product_catalog"), table(spark, sf_dir, "canonical_values").filter("field_name = 'Color'")
+
+
+def p6_found(spark, sf_dir):
+    return product_match.same_products(*_listings(spark, sf_dir))
+
+
+def p6_groups(spark, sf_dir):
+    return product_match.product_groups(*_listings(spark, sf_dir)).select("asin", "group_id")
+
+
 def p8_ids(spark, sf_dir):
     return tokenizer.encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -66,7 +78,7 @@ def p10_measures(spark, sf_dir):
     return stuffing.measure_pages(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_stable_sample, p3_found, p3_unmatched, p4_found, p4_sample, p4_report, p5_found, p5_conversations, p8_ids, p9_found, p9_items, p9_clean, p10_found, p10_measures)}
+QUERIES = {f.__name__: f for f in (p1_stable_sample, p3_found, p3_unmatched, p4_found, p4_sample, p4_report, p5_found, p5_conversations, p6_found, p6_groups, p8_ids, p9_found, p9_items, p9_clean, p10_found, p10_measures)}
 
 _PRODUCTS = f"SELECT lower({_TRIM.format('parent_asin')}) AS parent_asin, * EXCLUDE (parent_asin) FROM proxy_products"
 
