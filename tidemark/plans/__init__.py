@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-NAMES = ("general",)
+NAMES = ("general", "catalog_queries")
 
 
 def modules() -> list:
