@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-NAMES = ("general", "catalog_queries", "search_queries", "analytics_queries", "dialogue_queries", "stream_queries")
+NAMES = ("general", "catalog_queries", "search_queries", "analytics_queries", "dialogue_queries", "stream_queries", "more_queries")
 
 
 def modules() -> list:
