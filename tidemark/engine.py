@@ -58,6 +58,15 @@ def number_rows(df: DataFrame, order: list, name: str = "seq") -> DataFrame:
     return placed.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_place")).drop("_part", "_place", "_start")
 
 
+def rank_in_groups(df: DataFrame, by: list, order: list, name: str = "rank") -> DataFrame:
+    """Add ``name``: 1, 2, … inside each group ``by`` in the total order ``order``, as row_number does, but with no
+    group in one task: rows are numbered over all groups, then each group's first number is taken off."""
+    numbered = number_rows(df, [*by, *order], "_seq")
+    firsts = numbered.groupBy(*by).agg(F.min("_seq").alias("_first"), F.count("*").alias("_n")).withColumn("_key", F.to_json(F.struct(*by)))
+    keyed = numbered.withColumn("_key", F.to_json(F.struct(*by)))
+    return lookup_skewed(keyed, firsts, ["_key"], "_n", ["_first"]).withColumn(name, F.col("_seq") - F.col("_first") + 1).drop("_seq", "_first", "_key")
+
+
 def lookup_skewed(left: DataFrame, counted: DataFrame, key: list, count: str, keep: list, share: int = 1000) -> DataFrame:
     """Left join of ``left`` with the dictionary ``counted`` (unique on ``key``) in which hot keys never meet in one task.
 
