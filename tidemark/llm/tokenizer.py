@@ -100,8 +100,9 @@ class PrefixEncoder:
 class EncodedText:
     """A text with its pieces and ids, which takes appends and edits without encoding the rest again.
 
-    A piece depends on its own characters and the one after it, so an edit leaves all pieces that end before it, and
-    those behind it from the first place on where old and new pieces begin together.
+    A piece depends on its own characters and the two after it (white space gives its last one to what follows), so an
+    edit leaves all pieces that end two before it, and those behind it from the first place on where old and new
+    pieces begin together.
     """
 
     def __init__(self, encoder: PrefixEncoder, text: str = ""):
@@ -116,7 +117,7 @@ class EncodedText:
         old, shift = self.text, len(new) - (end - start)
         self.text = old[:start] + new + old[end:]
         ends = [*self.starts[1:], len(old)] if self.starts else []
-        kept = bisect_left(ends, start)
+        kept = bisect_left(ends, start - 1)
         starts, pieces = self.starts[:kept], self.pieces[:kept]
         later = {s + shift: i for i, s in enumerate(self.starts) if s > end}
         at = ends[kept - 1] if kept else 0
