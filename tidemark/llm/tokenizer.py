@@ -52,7 +52,12 @@ class PrefixEncoder:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.lengths = sorted({len(t) for t in ranks}, reverse=True)
+        tails: dict[bytes, set[int]] = {}
+        for token in ranks:
+            if len(token) > 3:
+                tails.setdefault(token[-4:], set()).add(len(token))
+        #: lengths of the tokens that end in four given bytes, longest first
+        self.tails = {tail: (*sorted(found, reverse=True), 3, 2, 1) for tail, found in tails.items()}
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
 
     def merge(self, data: bytes) -> list[bytes]:
@@ -76,10 +81,10 @@ class PrefixEncoder:
 
     def extend(self, data: bytes, last: list[int]) -> list[int]:
         """Continue the table ``last`` (length of the last token of each prefix, from prefix 0) to all of ``data``."""
-        ranks = self.ranks
+        ranks, tails, short = self.ranks, self.tails, (3, 2, 1)
         last = last or [0]
         for end in range(len(last), len(data) + 1):
-            for n in self.lengths:
+            for n in tails.get(data[end - 4 : end], short) if end > 3 else short:
                 if n <= end and (token := data[end - n : end]) in ranks:
                     start = end - n
                     if self.fits(b"", token) and (not start or self.fits(data[start - last[start] : start], token)):
