@@ -42,6 +42,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def broadcast_if_small(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``most`` rows, else as it is, to be joined by a shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def number_rows(df: DataFrame, order: list, name: str = "seq") -> DataFrame:
     """Add ``name``: 0-based BIGINT position of each row in the total order ``order`` (column names).
 
@@ -51,11 +56,11 @@ def number_rows(df: DataFrame, order: list, name: str = "seq") -> DataFrame:
     """
     placed = cut(
         df.repartitionByRange(*order).sortWithinPartitions(*order)
-        .withColumn("_part", F.spark_partition_id()).withColumn("_place", F.monotonically_increasing_id().bitwiseAND(F.lit(_PLACE_BITS)))
+        .withColumn("_nr_part", F.spark_partition_id()).withColumn("_nr_place", F.monotonically_increasing_id().bitwiseAND(F.lit(_PLACE_BITS)))
     )
-    starts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
-    starts = starts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_start"))
-    return placed.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_place")).drop("_part", "_place", "_start")
+    starts = placed.groupBy("_nr_part").agg(F.count("*").alias("_n"))
+    starts = starts.select("_nr_part", (F.sum("_n").over(Window.orderBy("_nr_part")) - F.col("_n")).alias("_nr_start"))
+    return placed.join(F.broadcast(starts), "_nr_part").withColumn(name, F.col("_nr_start") + F.col("_nr_place")).drop("_nr_part", "_nr_place", "_nr_start")
 
 
 def rank_in_groups(df: DataFrame, by: list, order: list, name: str = "rank") -> DataFrame:
@@ -75,7 +80,8 @@ def lookup_skewed(left: DataFrame, counted: DataFrame, key: list, count: str, ke
     whose largest key has less than 1/``share`` of the rows. Null keys match nothing.
     """
     total = counted.agg(F.coalesce(F.sum(count), F.lit(0)).alias("_total"))
-    ranked = counted.crossJoin(F.broadcast(total)).withColumn("_hot", F.col(count) * share > F.col("_total")).drop("_total")
+    ranked = counted.crossJoin(F.broadcast(total))  # one row
+    ranked = ranked.withColumn("_hot", F.col(count) * share > F.col("_total")).drop("_total")
     hot = ranked.filter("_hot").select(*key, F.struct(*keep).alias("_hot_value"))
     cold = ranked.filter("NOT _hot").select(*key, F.struct(*keep).alias("_cold_value"))
     seen = left.join(F.broadcast(hot), key, "left")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.catalog import with_ranks
+from tidemark.engine import rank_in_groups
 
 MISS_TURN = 11
 
@@ -30,7 +30,7 @@ def by_scenario(outcomes: DataFrame) -> DataFrame:
 def folds(rows: DataFrame, strata: list, key: str, seed: str = "fold", n: int = 5) -> DataFrame:
     """Add ``fold`` 1..n: round robin inside each stratum in the order of a hash of the key."""
     hashed = rows.withColumn("_h", F.sha2(F.concat(F.lit(seed), F.char(F.lit(0)), F.col(key)), 256))
-    return with_ranks(hashed, strata, ["_h", key], "_r").withColumn("fold", (F.col("_r") - 1) % n + 1).drop("_h", "_r")
+    return rank_in_groups(hashed, strata, ["_h", key], "_r").withColumn("fold", (F.col("_r") - 1) % n + 1).drop("_h", "_r")
 
 
 def selection(fold_metrics: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.engine import broadcast_if_small
 from tidemark.functions import lookups, text
 from tidemark.operators.catalog import with_ranks
 
@@ -26,9 +27,11 @@ def bm25(queries: DataFrame, terms: DataFrame, lengths: DataFrame, key: str) ->
 
     ``terms`` (key, term, tf), ``lengths`` (key, length in tokens). A query's terms are joined to their postings, so
     only documents that share a term are scored; scores are summed by (query, document) before the shuffle."""
-    wanted = query_terms(queries)
+    wanted = broadcast_if_small(query_terms(queries))
     stats = lengths.agg(F.count("*").alias("_n"), F.avg("length").alias("_avg"))
     df = terms.groupBy("term").agg(F.count("*").alias("df"))
+    # only the frequencies of asked terms are needed, at most as many as there are query terms
+    df = broadcast_if_small(df.join(wanted, "term", "left_semi"))
     hit = terms.join(wanted, "term").join(df, "term").join(lengths, key).crossJoin(F.broadcast(stats))  # one row
     idf = F.log((F.col("_n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf > 0, idf).otherwise(1e-6)
@@ -38,8 +41,11 @@ def bm25(queries: DataFrame, terms: DataFrame, lengths: DataFrame, key: str) ->
 
 
 def mask_scores(queries: DataFrame, term_fields: DataFrame) -> DataFrame:
-    """(query_id, parent_asin, score): for each query term that a product has, the weights of the fields that have it."""
-    return query_terms(queries).join(term_fields.select("parent_asin", "term", "weight"), "term").groupBy("query_id", "parent_asin").agg(F.sum("weight").alias("score"))
+    """(query_id, parent_asin, score): for each query term that a product has, the weights of the fields that have it.
+
+    A query set of checked size goes to the term table, whose rows lie by product: then nothing is shuffled."""
+    wanted = broadcast_if_small(query_terms(queries))
+    return term_fields.select("parent_asin", "term", "weight").join(wanted, "term").groupBy("query_id", "parent_asin").agg(F.sum("weight").alias("score"))
 
 
 def top_k(scored: DataFrame, by: list, k: int, *order) -> DataFrame:

@@ -3,20 +3,31 @@
 from __future__ import annotations
 
 import heapq
+import math
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.catalog import with_ranks
+from tidemark.engine import cut, number_rows, rank_in_groups
 
 
 def quartile_bins(rows: DataFrame, column: str, name: str) -> DataFrame:
     """Add ``name``: q1 to q4 by nearest-rank quartiles of all rows, missing for null."""
-    cuts = rows.agg(*[F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {column})").alias(f"_q{i}") for i, q in enumerate((0.25, 0.5, 0.75))])
+    first, second, third = nearest_ranks(rows, column, (0.25, 0.5, 0.75))
     value = F.col(column)
-    label = F.when(value.isNull(), "missing").when(value <= F.col("_q0"), "q1").when(value <= F.col("_q1"), "q2").when(value <= F.col("_q2"), "q3").otherwise("q4")
-    return rows.crossJoin(F.broadcast(cuts)).withColumn(name, label).drop("_q0", "_q1", "_q2")  # one row
+    label = F.when(value.isNull(), "missing").when(value <= F.lit(first), "q1").when(value <= F.lit(second), "q2").when(value <= F.lit(third), "q3").otherwise("q4")
+    return rows.withColumn(name, label)
+
+
+def nearest_ranks(rows: DataFrame, column: str, shares: tuple) -> list:
+    """The value at the nearest rank of each share of the values that aren't null, None without any. Exact, by one
+    range sort: the values are never gathered, as an aggregate of all distinct ones would."""
+    numbered = cut(number_rows(rows.select(column).filter(F.col(column).isNotNull()), [column]))
+    total = numbered.count()
+    places = [max(0, math.ceil(total * s) - 1) for s in shares]
+    found = {r._seq: r[0] for r in numbered.filter(F.col("seq").isin(*places)).select(column, F.col("seq").alias("_seq")).collect()}
+    return [found.get(p) for p in places]
 
 
 def marginals(rows: DataFrame, dims: list) -> DataFrame:
@@ -89,6 +100,6 @@ def representative_sample(rows: DataFrame, dims: list, size: int, seed: str = "p
 
     schema = ", ".join(f"{d} string" for d in dims) + ", take bigint"
     taken = cells.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(choose, schema)
-    ranked = with_ranks(rows.withColumn("_h", F.sha2(F.concat(F.lit(seed), F.char(F.lit(0)), F.col(key)), 256)), dims, ["_h", key], "_r")
+    ranked = rank_in_groups(rows.withColumn("_h", F.sha2(F.concat(F.lit(seed), F.char(F.lit(0)), F.col(key)), 256)), dims, ["_h", key], "_r")
     on = [ranked[d].eqNullSafe(taken[d]) for d in dims]
     return ranked.join(F.broadcast(taken), on).filter("_r <= take").select(*[ranked[c] for c in rows.columns])

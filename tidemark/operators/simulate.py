@@ -35,8 +35,9 @@ def run(labels: DataFrame, products: DataFrame, rounds: int = 10, k: int = looku
     that weren't shown to it before are shown; a session ends when its target is among them. Every round is one job
     over all open sessions, cut from its lineage."""
     cards = intent_cards(products)
-    terms = cut(cat.term_fields(products).select("parent_asin", "term", "weight"))
-    quality = cut(cat.with_quality(products).select("parent_asin", "quality"))
+    # kept as they lie, by product, so that no round shuffles them; a lost part is built again
+    terms = cat.term_fields(products).select("parent_asin", "term", "weight").persist()
+    quality = cat.with_quality(products).select("parent_asin", "quality").persist()
     ids = labels.withColumn("query_id", F.xxhash64("session_id"))
     open_ = cut(ids.join(cards.withColumnRenamed("parent_asin", "target"), "target"))
     shown, done = None, None
@@ -51,5 +52,7 @@ def run(labels: DataFrame, products: DataFrame, rounds: int = 10, k: int = looku
         seen = top.select("query_id", "parent_asin")
         shown = seen if shown is None else shown.unionByName(seen)
         open_ = cut(open_.join(hits, "query_id", "left_anti"))
+    terms.unpersist()
+    quality.unpersist()
     out = ids.join(done, "query_id", "left")
     return out.select("session_id", F.col("rank").isNotNull().alias("hit"), "first_hit_turn", F.col("rank").alias("best_rank"), F.round(F.coalesce(1.0 / F.col("rank"), F.lit(0.0)), 6).alias("reciprocal_rank"))

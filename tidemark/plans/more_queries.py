@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.engine import table
+from tidemark.engine import number_rows, table
 from tidemark.functions import cards, lookups, text
 from tidemark.operators import catalog as cat
-from tidemark.operators import policy, retrieval, sampling, simulate, store
+from tidemark.operators import metrics, policy, retrieval, sampling, simulate, store
 from tidemark.plans import sql
 from tidemark.plans.analytics_queries import _BINS, _DIMS, binned, traces
 from tidemark.plans.catalog_queries import products
@@ -131,7 +131,7 @@ def schedule(spark, n: int):
     shares = spark.createDataFrame(list(cards.SCENARIOS.items()), "key string, weight double")
     slots = sampling.apportion(shares, n).select(F.col("key").alias("scenario"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("ordinal"))
     hashed = slots.withColumn("_h", text.stable_hash("schedule", F.concat("scenario", F.lit(":"), F.col("ordinal").cast("string"))))
-    return cat.with_ranks(hashed, [], ["_h", "scenario", "ordinal"], "place").select("scenario", "place")
+    return number_rows(hashed, ["_h", "scenario", "ordinal"], "_at").select("scenario", (F.col("_at") + 1).alias("place"))
 
 
 @query(f"{_BINS}, {_SCHEDULE} SELECT scenario, count(*) AS n, min(place) AS first FROM schedule GROUP BY 1")
@@ -149,7 +149,7 @@ _OPEN = " ".join(
 @query(f"{_BINS}, {_SCHEDULE}, m AS (SELECT parent_asin, scenario, category, CAST(('0x' || substr(sha256(concat('variant', chr(0), parent_asin)), 63, 2)) AS INT) % 4 AS variant FROM t JOIN schedule USING (place)) SELECT parent_asin, scenario, variant, CASE {_OPEN} ELSE 'I''m looking for ' || category || ', but I''m still exploring.' END AS message FROM m")
 def suite_openings(spark, sf_dir):
     rows = binned(spark, sf_dir).select("parent_asin", "category")
-    placed = cat.with_ranks(rows.withColumn("_h", text.stable_hash("suite", F.col("parent_asin"))), [], ["_h", "parent_asin"], "place")
+    placed = number_rows(rows.withColumn("_h", text.stable_hash("suite", F.col("parent_asin"))), ["_h", "parent_asin"], "_at").withColumn("place", F.col("_at") + 1)
     joined = placed.join(schedule(spark, rows.count()), "place")
     variant = F.conv(F.substring(text.stable_hash("variant", F.col("parent_asin")), 63, 2), 16, 10).cast("int") % 4
     rows = joined.select("parent_asin", "scenario", "category", variant.alias("variant"))
@@ -158,10 +158,7 @@ def suite_openings(spark, sf_dir):
 
 @query(f"{_BINS}, difficulty AS (SELECT *, row_number() OVER (PARTITION BY price_bin, popularity_bin ORDER BY sha256(concat('fold', chr(0), parent_asin)), parent_asin) AS r FROM binned) SELECT parent_asin, (r - 1) % 5 + 1 AS fold FROM difficulty")
 def proxy_folds(spark, sf_dir):
-    from pyspark.sql import Window
-
-    hashed = binned(spark, sf_dir).withColumn("_h", text.stable_hash("fold", F.col("parent_asin")))
-    return hashed.select("parent_asin", ((F.row_number().over(Window.partitionBy(*_DIMS[1:]).orderBy("_h", "parent_asin")) - 1) % 5 + 1).cast("bigint").alias("fold"))
+    return metrics.folds(binned(spark, sf_dir), _DIMS[1:], "parent_asin").select("parent_asin", F.col("fold").cast("bigint").alias("fold"))
 
 
 _BASE_STOP = sql.quoted(cards.STOPWORDS)
@@ -201,8 +198,8 @@ def response_fill(spark, sf_dir):
     rows = products(spark, sf_dir).select("parent_asin")
     key = F.struct("session_id", "turn")
     shown = store.shown_products(turns).join(rows, "parent_asin", "left_semi").select(key.alias("query_id"), "parent_asin", "rank")
-    fallback = cat.with_ranks(rows.orderBy("parent_asin").limit(10), [], ["parent_asin"])
-    spare = turns.select(key.alias("query_id")).join(F.broadcast(fallback), how="cross").select("query_id", "parent_asin", "rank")
+    first = [r.parent_asin for r in rows.orderBy("parent_asin").limit(10).collect()]
+    spare = turns.select(key.alias("query_id"), F.posexplode(text.literals(first)).alias("rank", "parent_asin")).select("query_id", "parent_asin", (F.col("rank") + 1).alias("rank"))
     filled = retrieval.fill(shown, spare, spare.limit(0), 10)
     return filled.select("query_id.session_id", "query_id.turn", "parent_asin", "rank")
 
@@ -219,8 +216,6 @@ _TRIALS = "tr AS (SELECT turn AS trial, CAST(json_extract_string(trace_json, '$.
 
 @query(f"WITH {_TRIALS}, p AS (SELECT trial, quantile_disc(ms, 0.95) AS p95 FROM tr GROUP BY 1) SELECT (SELECT median(ms) FROM tr) AS p50, (SELECT max(ms) FROM tr) AS max, median(p95) AS p95, count(*) AS trials FROM p")
 def benchmark_aggregate(spark, sf_dir):
-    from tidemark.operators import metrics
-
     rows = traces(spark, sf_dir).filter("turn BETWEEN 1 AND 5 AND elapsed_ms IS NOT NULL")
     per = metrics.latency(rows, ["turn"]).agg(F.median("p95").alias("p95"), F.count("*").alias("trials"))
     pooled = rows.agg(F.median("elapsed_ms").alias("p50"), F.max("elapsed_ms").alias("max"))
