@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tidemark.functions import lookups, messages, text
 
 MAX_WORDS = 3
+#: Place behind all words of a message.
+LATE = 1_000_000_000
 # Single words that are never a value, and the request words, cues and negations around one.
 STOPWORDS = "a an and as at brand by for from key my new of on or requirement style the to want".split()
 REQUEST = r"\b(?:looking for|shopping for|need|want|find|show me)\b"
@@ -59,7 +61,8 @@ def mentions(rows: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def constraints(rows: DataFrame, words: DataFrame) -> DataFrame:
-    """(message_id, attribute, operator, value, upper_value, alternatives) of each message (message_id, message).
+    """(message_id, place, attribute, operator, value, upper_value, alternatives) of each message (message_id, message);
+    place orders them as the message states them, budgets and a phrase's category last.
 
     Values of one attribute joined by "or" are alternatives (in); a negation before them makes not_in. Budgets come
     from their own statements, a category without vocabulary from the request's phrase. Messages that only steer
@@ -78,8 +81,8 @@ def constraints(rows: DataFrame, words: DataFrame) -> DataFrame:
     negated = F.col("v")[0]["negated"]
     operator = F.when(negated, "not_in").when(F.size("v") > 1, "in").otherwise("eq")
     none = F.lit(None).cast("string")
-    stated = grouped.select("message_id", "attribute", operator.alias("operator"), F.col("v")[0]["value"].alias("value"), none.alias("upper_value"), F.when(negated | (F.size("v") > 1), F.array_join(values, "|")).otherwise("").alias("alternatives"))
-    money = plain.select("message_id", F.explode(messages.budgets(F.col("message"))).alias("b")).select("message_id", F.lit("budget").alias("attribute"), "b.operator", "b.value", "b.upper_value", F.lit("").alias("alternatives"))
+    stated = grouped.select("message_id", F.col("v")[0]["start"].alias("place"), "attribute", operator.alias("operator"), F.col("v")[0]["value"].alias("value"), none.alias("upper_value"), F.when(negated | (F.size("v") > 1), F.array_join(values, "|")).otherwise("").alias("alternatives"))
+    money = plain.select("message_id", F.posexplode(messages.budgets(F.col("message"))).alias("place", "b")).select("message_id", (F.col("place") + LATE).alias("place"), F.lit("budget").alias("attribute"), "b.operator", "b.value", "b.upper_value", F.lit("").alias("alternatives"))
     category = plain.select("message_id", messages.named_category(F.col("message")).alias("value")).filter("value IS NOT NULL").join(stated.filter("attribute = 'category'").select("message_id"), "message_id", "left_anti")
-    category = category.select("message_id", F.lit("category").alias("attribute"), F.lit("eq").alias("operator"), "value", none.alias("upper_value"), F.lit("").alias("alternatives"))
+    category = category.select("message_id", F.lit(2 * LATE).alias("place"), F.lit("category").alias("attribute"), F.lit("eq").alias("operator"), "value", none.alias("upper_value"), F.lit("").alias("alternatives"))
     return stated.unionByName(money).unionByName(category).distinct()

@@ -72,7 +72,7 @@ def representative_sample(rows: DataFrame, dims: list, size: int, seed: str = "p
     cells = rows.groupBy(*dims).agg(F.count("*").alias("n")).orderBy(*dims)
     total = rows.count()
 
-    def choose(_, pdf: pd.DataFrame) -> pd.DataFrame:
+    def choose(_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         values = [tuple(r) for r in pdf[dims].itertuples(index=False)]
         counts = pdf["n"].tolist()
         quota = {}

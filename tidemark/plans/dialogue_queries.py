@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.engine import table
 from tidemark.functions import messages
 from tidemark.operators import catalog as cat
-from tidemark.operators import ledger, parsing, simulate, store
+from tidemark.operators import ledger, parsing, respond, simulate, store
 from tidemark.plans import sql
 from tidemark.plans.catalog_queries import products
 
@@ -86,6 +86,11 @@ def ledger_fold(spark, sf_dir):
     return ledger.fold(ledger.parsed_turns(table(spark, sf_dir, "turns"), words(spark, sf_dir)))
 
 
+@query()
+def respond_turns(spark, sf_dir):
+    return respond.respond(table(spark, sf_dir, "turns"), products(spark, sf_dir))
+
+
 @query()
 def simulate_sessions(spark, sf_dir):
     feedback = store.latest_feedback(table(spark, sf_dir, "product_feedback"))
