@@ -40,11 +40,20 @@ def bm25(queries: DataFrame, terms: DataFrame, lengths: DataFrame, key: str) ->
     return hit.groupBy("query_id", key).agg(F.sum(part).alias("score"))
 
 
-def mask_scores(queries: DataFrame, term_fields: DataFrame) -> DataFrame:
+def telling_terms(terms: DataFrame, postings: DataFrame, products: int, share: float, least: int = 1000) -> DataFrame:
+    """The query terms (query_id, term) that at most ``share`` of the products, or ``least`` of them, have; ``postings``
+    (parent_asin, term)."""
+    asked = broadcast_if_small(terms.select("term").distinct())
+    known = postings.join(asked, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") <= max(share * products, least))
+    return terms.join(broadcast_if_small(known.select("term")), "term", "left_semi").select("query_id", "term")
+
+
+def mask_scores(queries: DataFrame, term_fields: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """(query_id, parent_asin, score): for each query term that a product has, the weights of the fields that have it.
 
-    A query set of checked size goes to the term table, whose rows lie by product: then nothing is shuffled."""
-    wanted = broadcast_if_small(query_terms(queries))
+    ``terms`` (query_id, term) stands for the queries' own terms. A query set of checked size goes to the term table,
+    whose rows lie by product: then nothing is shuffled."""
+    wanted = broadcast_if_small(query_terms(queries) if terms is None else terms)
     return term_fields.select("parent_asin", "term", "weight").join(wanted, "term").groupBy("query_id", "parent_asin").agg(F.sum("weight").alias("score"))
 
 
