@@ -253,3 +253,50 @@ def input_validation(spark, sf_dir):
     rating = F.when(F.col("average_rating").between(0, 5), "ok").when(F.col("average_rating").isNull(), "missing").otherwise("range")
     price = F.when(F.col("price").isNull(), "missing").when(F.col("price") > 0, "ok").otherwise("range")
     return bad.select("parent_asin", rating.alias("rating"), price.alias("price"))
+
+
+#: Fixed example statements: attribute, operator, value, upper value, alternatives, source, is_hard.
+STATED = [("budget", "lte", "80.00", None, [], "message", True), ("budget", "between", "20.00", "50.00", [], "message", True), ("color", "in", "red", None, ["red", "blue"], "message", True), ("material", "not_in", "wool", None, ["wool"], "message", True), ("feature", "eq", "warm", None, [], "profile", False), ("style", "eq", "long coat", None, [], "clarification", False)]
+
+
+@query("""SELECT * FROM (VALUES ('budget: at most $80.00', 'hard'), ('budget: between $20.00 and $50.00', 'hard'), ('color: one of red, blue', 'hard'), ('material: wool', 'excluded'), ('feature: warm', 'inferred'), ('style: long coat', 'stated')) t(said, role)""")
+def fn_requirement_text(spark, sf_dir):
+    rows = spark.createDataFrame(STATED, "attribute string, operator string, value string, upper string, alternatives array<string>, source string, is_hard boolean")
+    return rows.select(cards.requirement(*[F.col(c) for c in ("attribute", "operator", "value", "upper", "alternatives")]).alias("said"), cards.role(F.col("operator"), F.col("source"), F.col("is_hard")).alias("role"))
+
+
+@query(f"""WITH {sql.CAT}, t AS (SELECT parent_asin, {sql.terms("array_to_string(list_transform(coalesce(features, []), lambda f: coalesce(f, '')), ' ') || ' ' || coalesce(title, '')")} AS l FROM cat) SELECT parent_asin, array_to_string(l[1:12], ' ') AS query FROM t""")
+def fn_evidence_query(spark, sf_dir):
+    phrases = F.array(
+        F.struct(F.lit(0.6).alias("weight"), F.lit(1).alias("place"), text.tokens(F.col("title")).alias("tokens")),
+        F.struct(F.lit(1.0).alias("weight"), F.lit(0).alias("place"), text.tokens(text.flatten_array(F.col("features"))).alias("tokens")),
+    )
+    return products(spark, sf_dir).select("parent_asin", cards.evidence_query(phrases, 12).alias("query"))
+
+
+@query(f"""WITH {sql.CAT}, v AS (SELECT DISTINCT e.value AS value FROM (SELECT unnest(map_entries(details)) AS e FROM cat)) SELECT value, length({sql.normal('value')}) BETWEEN 1 AND 80 AND len({sql.terms('value')}) BETWEEN 1 AND 8 AND NOT regexp_full_match({sql.normal('value')}, '[0-9 ]+') AND NOT regexp_matches(lower(value), 'https?://|www\\.') AS safe FROM v WHERE value IS NOT NULL""")
+def fn_safe_value(spark, sf_dir):
+    values = products(spark, sf_dir).select(F.explode("details").alias("name", "value")).filter("value IS NOT NULL").select("value").distinct()
+    normal = text.normalize_value(F.col("value"))
+    safe = F.length(normal).between(1, 80) & F.size(text.terms(F.col("value"))).between(1, 8) & ~normal.rlike("^[0-9 ]+$") & ~F.lower("value").rlike(r"https?://|www\.")
+    return values.withColumn("safe", safe)
+
+
+_RUNS = """tr AS (SELECT CASE WHEN turn % 2 = 1 THEN 'baseline' ELSE 'candidate' END AS run, CAST(json_extract_string(trace_json, '$.elapsed_ms') AS DOUBLE) AS ms FROM turns WHERE json_valid(trace_json) AND turn BETWEEN 1 AND 10),
+m AS (SELECT run, median(ms) AS p50, quantile_disc(ms, 0.95) AS p95, max(ms) AS max FROM tr GROUP BY 1)"""
+
+
+@query(f"WITH {_RUNS} SELECT round((c.p50 - b.p50) / b.p50, 6) AS p50_change, round((c.p95 - b.p95) / b.p95, 6) AS p95_change, c.p50 <= 1.05 * b.p50 AND c.p95 <= 1.05 * b.p95 AND c.max < 1500 AS passed FROM m b, m c WHERE b.run = 'baseline' AND c.run = 'candidate'")
+def benchmark_comparison(spark, sf_dir):
+    rows = traces(spark, sf_dir).filter("turn BETWEEN 1 AND 10").withColumn("run", F.when(F.col("turn") % 2 == 1, "baseline").otherwise("candidate"))
+    runs = metrics.latency(rows, ["run"])
+    pick = lambda run, p: F.max(F.when(F.col("run") == run, F.col(p)))
+    change = lambda p: (pick("candidate", p) - pick("baseline", p)) / pick("baseline", p)
+    passed = (change("median") <= 0.05) & (change("p95") <= 0.05) & (pick("candidate", "max") < 1500)
+    return runs.agg(F.round(change("median"), 6).alias("p50_change"), F.round(change("p95"), 6).alias("p95_change"), passed.alias("passed"))
+
+
+@query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, round(avg(CAST(json_extract_string(props, '$.k') AS DOUBLE)), 6) AS k FROM events GROUP BY 1")
+def event_summary(spark, sf_dir):
+    k = F.try_variant_get(F.try_parse_json("props"), "$.k", "double")
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), F.round(F.avg(k), 6).alias("k"))
