@@ -86,6 +86,14 @@ def test_ledger(spark, words):
     assert got["s1", 1].active == "material eq cotton" and got["s1", 2].active == "" and got["s1", 3].active == "material in cotton|wool" and got["s1", 4].active == "material eq wool"
 
 
+def test_profile_is_soft_and_survives(spark, words):
+    df = turns(spark, ["red", "Actually, ignore my earlier preferences. What I need is a dress."])
+    profiles = spark.createDataFrame([("s0", ["Long Walks", " ", "long walks"]), ("other", ["x"])], "session_id string, tags array<string>")
+    got = {r.turn: r for r in ledger.fold(ledger.parsed_turns(df, words), profiles).collect()}
+    assert "feature eq long walks" in got[1].active and "color eq red" in got[1].active
+    assert "feature eq long walks" in got[2].active and "red" not in got[2].active and "long walks" not in got[2].constraints
+
+
 def test_repeated_turn_changes_nothing():
     turn = {"turn": 1, "message": "red", "is_override": False, "replaces_preferences": False, "no_preference": False, "mentioned": None, "route_hint": None, "constraints": [{"attribute": "color", "operator": "eq", "value": "red", "upper_value": None, "alternatives": ""}]}
     once = ledger.step(ledger.start(), turn)

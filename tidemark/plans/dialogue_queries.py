@@ -83,7 +83,7 @@ def parse_vocabulary(spark, sf_dir):
 
 @query()
 def ledger_fold(spark, sf_dir):
-    return ledger.fold(ledger.parsed_turns(table(spark, sf_dir, "turns"), words(spark, sf_dir)))
+    return ledger.fold(ledger.parsed_turns(table(spark, sf_dir, "turns"), words(spark, sf_dir)), ledger.profile_tags(table(spark, sf_dir, "sessions")))
 
 
 @query()
