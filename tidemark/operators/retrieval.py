@@ -89,8 +89,9 @@ def profile_hits(preferences: DataFrame, postings: DataFrame) -> DataFrame:
     return preferences.distinct().join(postings.select("parent_asin", "attribute", "value").distinct(), ["attribute", "value"]).groupBy("query_id", "parent_asin").agg(F.count("*").alias("hits"))
 
 
-def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """(query_id, key, score): the k vectors of largest inner product with each query, by id where equal.
+def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", column: str = "embedding", digits: int = 9) -> DataFrame:
+    """(query_id, key, score): the k vectors of largest inner product with each query, by id where equal in so many
+    digits.
 
     Queries (query_id, vector) are a set of checked size, broadcast as one matrix; all vectors are read once in
     blocks, each block keeps k rows a query, and only those are shuffled."""
@@ -107,15 +108,15 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_
                 continue
             scores = np.stack(batch[column].to_numpy()).astype(np.float64) @ matrix.value.T
             names = batch[key].to_numpy()
-            order = np.lexsort((np.broadcast_to(names[:, None], scores.shape), -np.round(scores, 9)), axis=0)[:k]
+            order = np.lexsort((np.broadcast_to(names[:, None], scores.shape), -np.round(scores, digits)), axis=0)[:k]
             for q in range(len(ids)):
-                rows = [(-round(float(scores[i, q]), 9), int(names[i]), float(scores[i, q])) for i in order[:, q]]
+                rows = [(-round(float(scores[i, q]), digits), int(names[i]), float(scores[i, q])) for i in order[:, q]]
                 best[q] = sorted(best.get(q, []) + rows)[:k]
         out = [(ids[q], name, score) for q, rows in best.items() for _, name, score in rows]
         yield pd.DataFrame(out, columns=["query_id", key, "score"])
 
     near = vectors.select(key, column).filter(F.col(column).isNotNull()).mapInPandas(scan, f"query_id bigint, {key} bigint, score double")
-    return top_k(near, ["query_id"], k, F.round("score", 9).desc(), F.col(key))
+    return top_k(near, ["query_id"], k, F.round("score", digits).desc(), F.col(key))
 
 
 def fuse(ranked: DataFrame, weights: DataFrame, k: int = lookups.RRF_K) -> DataFrame:

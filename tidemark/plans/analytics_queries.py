@@ -25,19 +25,23 @@ def query(oracle: str | None = None):
     return register
 
 
-# Outcomes: a vector with an id divisible by ten is a session, its target the nearest other one of its label; the
-# turns show the rest by similarity, ten a turn.
-_NEAR = """near AS (SELECT q.vec_id AS q, v.vec_id AS v, q.label = v.label AS same, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_inner_product(list_transform(q.embedding, lambda x: x::DOUBLE), list_transform(v.embedding, lambda x: x::DOUBLE)), 9) DESC, v.vec_id) AS place
-  FROM embeddings q, embeddings v WHERE q.vec_id % 10 = {0} AND q.vec_id <> v.vec_id QUALIFY place <= 30),
-outcomes AS (SELECT q AS session_id, any_value(label % 4) AS scenario, min(CASE WHEN same THEN place END) AS first FROM near JOIN embeddings ON q = vec_id GROUP BY q),
-o AS (SELECT session_id, scenario, first IS NOT NULL AS hit, (first - 1) // 10 + 1 AS first_hit_turn, (first - 1) % 10 + 1 AS best_rank, CASE WHEN first IS NULL THEN 0 ELSE 1.0::DOUBLE / ((first - 1) % 10 + 1) END AS reciprocal_rank FROM outcomes)"""
+# Outcomes: a vector with an id divisible by a hundred is a session, its target any other one of its label; the turns
+# show the others by similarity, ten a turn. A second run knows similarities to one digit only and shows 20.
+def _near(name: str = "", digits: int = 9, places: int = 30) -> str:
+    return _NEAR.replace("{n}", name).replace("{d}", str(digits)).replace("{p}", str(places))
 
 
-def outcomes(spark, sf_dir, digit=0):
+_NEAR = """near{n} AS (SELECT q.vec_id AS q, v.vec_id AS v, q.label = v.label AS same, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_inner_product(list_transform(q.embedding, lambda x: x::DOUBLE), list_transform(v.embedding, lambda x: x::DOUBLE)), {d}) DESC, v.vec_id) AS place
+  FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id QUALIFY place <= {p}),
+outcomes{n} AS (SELECT q AS session_id, any_value(label % 4) AS scenario, min(CASE WHEN same THEN place END) AS first FROM near{n} JOIN embeddings ON q = vec_id GROUP BY q),
+o{n} AS (SELECT session_id, scenario, first IS NOT NULL AS hit, (first - 1) // 10 + 1 AS first_hit_turn, (first - 1) % 10 + 1 AS best_rank, CASE WHEN first IS NULL THEN 0 ELSE 1.0::DOUBLE / ((first - 1) % 10 + 1) END AS reciprocal_rank FROM outcomes{n})"""
+
+
+def outcomes(spark, sf_dir, digits=9, places=30):
     rows = table(spark, sf_dir, "embeddings")
-    asked = rows.filter(F.col("vec_id") % 10 == digit).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    near = retrieval.dense_top_k(rows, asked, 31).filter("query_id <> vec_id")
-    near = cat.with_ranks(near.drop("rank"), ["query_id"], [F.round("score", 9).desc(), "vec_id"], "place").filter("place <= 30")
+    asked = rows.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    near = retrieval.dense_top_k(rows, asked, places + 1, digits=digits).filter("query_id <> vec_id")
+    near = retrieval.top_k(near.drop("rank"), ["query_id"], places, F.round("score", digits).desc(), F.col("vec_id")).withColumnRenamed("rank", "place")
     labels = rows.select("vec_id", "label")
     both = near.join(labels.select("vec_id", F.col("label").alias("found")), "vec_id").join(labels.select(F.col("vec_id").alias("query_id"), "label"), "query_id")
     best = both.groupBy("query_id", "label").agg(F.min(F.when(F.col("found") == F.col("label"), F.col("place"))).alias("first"))
@@ -49,17 +53,17 @@ _METRICS = "count(*) AS sessions, round(avg(CASE WHEN hit THEN 1.0::DOUBLE ELSE
 _SCORED = "*, round(greatest(0, least(1, (11 - mttc) / 10)), 6) AS efficiency, round(0.5::DOUBLE * hit_rate + 0.3::DOUBLE * mrr + 0.2::DOUBLE * round(greatest(0, least(1, (11 - mttc) / 10)), 6), 6) AS score"
 
 
-@query(f"WITH {_NEAR.format(0)} SELECT session_id, scenario, hit, first_hit_turn, best_rank, round(reciprocal_rank, 6) AS reciprocal_rank FROM o")
+@query(f"WITH {_near()} SELECT session_id, scenario, hit, first_hit_turn, best_rank, round(reciprocal_rank, 6) AS reciprocal_rank FROM o")
 def session_outcomes(spark, sf_dir):
     return outcomes(spark, sf_dir).withColumn("reciprocal_rank", F.round("reciprocal_rank", 6))
 
 
-@query(f"WITH {_NEAR.format(0)}, m AS (SELECT scenario, {_METRICS} FROM o GROUP BY GROUPING SETS ((scenario), ())) SELECT {_SCORED} FROM m")
+@query(f"WITH {_near()}, m AS (SELECT scenario, {_METRICS} FROM o GROUP BY GROUPING SETS ((scenario), ())) SELECT {_SCORED} FROM m")
 def metrics_by_scenario(spark, sf_dir):
     return metrics.by_scenario(outcomes(spark, sf_dir))
 
 
-_FOLDS = f"""WITH {_NEAR.format(0)}, f AS (SELECT *, (row_number() OVER (PARTITION BY scenario ORDER BY sha256(concat('fold', chr(0), session_id::VARCHAR)), session_id::VARCHAR) - 1) % 5 + 1 AS fold FROM o)"""
+_FOLDS = f"""WITH {_near()}, f AS (SELECT *, (row_number() OVER (PARTITION BY scenario ORDER BY sha256(concat('fold', chr(0), session_id::VARCHAR)), session_id::VARCHAR) - 1) % 5 + 1 AS fold FROM o)"""
 
 
 def folded(spark, sf_dir):
@@ -81,30 +85,21 @@ def failure_breakdown(spark, sf_dir):
     return metrics.failures(folded(spark, sf_dir), ["scenario", "fold"])
 
 
-_TWO = f"""WITH {_NEAR.format(0)}, b AS (SELECT session_id, CASE WHEN session_id % 30 = 0 THEN NOT hit ELSE hit END AS hit, CASE WHEN session_id % 20 = 0 THEN first_hit_turn + 1 ELSE first_hit_turn END AS first_hit_turn, best_rank FROM o WHERE session_id % 70 <> 0)"""
-
-
-def changed(base):
-    """A second run made from the first: some outcomes flipped, some a turn later, some missing."""
-    return base.filter("session_id % 70 <> 0").withColumn("hit", F.when(F.col("session_id") % 30 == 0, ~F.col("hit")).otherwise(F.col("hit"))).withColumn("first_hit_turn", F.when(F.col("session_id") % 20 == 0, F.col("first_hit_turn") + 1).otherwise(F.col("first_hit_turn")))
+_TWO = f"""WITH {_near()}, {_near('2', 1, 20)}, b AS (FROM o2)"""
 
 
 @query(f"""{_TWO} SELECT CASE WHEN b.session_id IS NULL OR o.session_id IS NULL THEN 'missing' WHEN NOT o.hit AND b.hit THEN 'recovered' WHEN o.hit AND NOT b.hit THEN 'regressed' WHEN NOT o.hit THEN 'same'
   WHEN b.first_hit_turn < o.first_hit_turn OR (b.first_hit_turn = o.first_hit_turn AND b.best_rank < o.best_rank) THEN 'improved' WHEN b.first_hit_turn > o.first_hit_turn OR b.best_rank > o.best_rank THEN 'worsened' ELSE 'same' END AS change, count(*) AS sessions
   FROM o FULL JOIN b USING (session_id) GROUP BY 1""")
 def paired_transitions(spark, sf_dir):
-    base = outcomes(spark, sf_dir)
-    return metrics.transitions(base, changed(base))
+    return metrics.transitions(outcomes(spark, sf_dir), outcomes(spark, sf_dir, 1, 20))
 
 
-@query(f"""WITH {_NEAR.format(0)}, m AS (SELECT scenario, {_METRICS} FROM o GROUP BY scenario), a AS (SELECT {_SCORED} FROM m),
-o2 AS (SELECT scenario, session_id % 30 <> 0 AND hit AS hit, first_hit_turn, reciprocal_rank FROM o), m2 AS (SELECT scenario, {_METRICS} FROM o2 GROUP BY scenario), b AS (SELECT {_SCORED} FROM m2)
-SELECT scenario, CAST(round((b.score - a.score) * 1000000) AS BIGINT) AS delta, coalesce(round((b.score - a.score) * 1000000) >= -15000, false) AS passed FROM a FULL JOIN b USING (scenario)""")
+@query(f"""{_TWO}, m AS (SELECT scenario, {_METRICS} FROM o GROUP BY scenario), a AS (SELECT {_SCORED} FROM m), m2 AS (SELECT scenario, {_METRICS} FROM b GROUP BY scenario), c AS (SELECT {_SCORED} FROM m2)
+SELECT scenario, CAST(round((c.score - a.score) * 1000000) AS BIGINT) AS delta, coalesce(round((c.score - a.score) * 1000000) >= -15000, false) AS passed FROM a FULL JOIN c USING (scenario)""")
 def stage_gate(spark, sf_dir):
-    base = outcomes(spark, sf_dir)
-    worse = base.withColumn("hit", (F.col("session_id") % 30 != 0) & F.col("hit"))
     score = lambda df: metrics.with_score(df.groupBy("scenario").agg(*metrics.summary()))
-    return metrics.gate(score(base), score(worse), "scenario", 0.015)
+    return metrics.gate(score(outcomes(spark, sf_dir)), score(outcomes(spark, sf_dir, 1, 20)), "scenario", 0.015)
 
 
 _TRACE = "SELECT json_extract_string(trace_json, '$.route') AS route, CAST(json_extract_string(trace_json, '$.elapsed_ms') AS DOUBLE) AS elapsed_ms FROM turns WHERE json_valid(trace_json)"
