@@ -42,6 +42,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` shuffled by ``columns`` into enough parts for all cores: small rows of much Python work would else be
+    merged into a few tasks by their bytes."""
+    spark = df.sparkSession
+    parts = max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(parts, *columns)
+
+
 def broadcast_if_small(df: DataFrame, most: int = 200_000) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``most`` rows, else as it is, to be joined by a shuffle."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

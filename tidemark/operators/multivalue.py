@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.engine import cut, lookup_skewed, trimmed
+from tidemark.engine import cut, lookup_skewed, spread, trimmed
 
 #: Delimiters a dialect may use; `and` stands for the word between white space. Fixed values.
 DELIMITERS = (",", ";", "|", "/", "\n", "&", "+", "·", "•", "\t", "、", "；", "，", "and")
@@ -158,7 +158,7 @@ def choose_dialects(cells: DataFrame) -> DataFrame:
     the finest reading of all *other* cells; one that no other cell has is spelled out. Ties go to the coarser
     reading.
     """
-    parses = cut(cells.repartition("field_name", "cell").mapInPandas(_parses, "field_name string, cell string, rank int, dialect string, mark_bits double, keys array<string>, lengths array<int>, own array<boolean>"))
+    parses = cut(spread(cells, "field_name", "cell").mapInPandas(_parses, "field_name string, cell string, rank int, dialect string, mark_bits double, keys array<string>, lengths array<int>, own array<boolean>"))
     book = parses.filter("rank = 0").select("field_name", F.explode(F.array_distinct("keys")).alias("key")).groupBy("field_name", "key").agg(F.count("*").alias("n"))
     totals = book.groupBy("field_name").agg(F.sum("n").alias("total"))
     uses = parses.select("field_name", "cell", "rank", "dialect", "mark_bits", F.size("keys").alias("n_values"), F.posexplode_outer(F.arrays_zip("keys", "lengths", "own")).alias("pos", "v"))
