@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.engine import cut, lookup_skewed
+from tidemark.engine import cut, lookup_skewed, spread
 from tidemark.operators.multivalue import cell_counts, detail_cells, with_dialects
 
 #: Words around a value that name no value, besides the field's own name. Fixed values.
@@ -162,7 +162,7 @@ def map_details(catalog: DataFrame, canonical: DataFrame, fields: tuple = ("Colo
         cells = cells.unionByName(single.select("parent_asin", "field_name", "cell"))
     cells = cut(cells)
     counts = cell_counts(cells)
-    mapped = cut(map_values(counts.repartition("field_name", "cell"), canonical).join(counts, ["field_name", "cell"]))
+    mapped = cut(map_values(spread(counts, "field_name", "cell"), canonical).join(counts, ["field_name", "cell"]))
     found = lookup_skewed(cells, mapped, ["field_name", "cell"], "products", ["ref_id", "is_exact"])
     return found.filter("NOT is_exact").select("parent_asin", "field_name", "ref_id").distinct()
 
