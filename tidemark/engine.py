@@ -93,8 +93,11 @@ def lookup_skewed(left: DataFrame, counted: DataFrame, key: list, count: str, ke
     hot = ranked.filter("_hot").select(*key, F.struct(*keep).alias("_hot_value"))
     cold = ranked.filter("NOT _hot").select(*key, F.struct(*keep).alias("_cold_value"))
     seen = left.join(F.broadcast(hot), key, "left")
-    # a row that was found among the hot keys gets a null join key: it needs no partner and is spread by its row hash
+    without_key = F.lit(False)
     for k in key:
-        seen = seen.withColumn(f"_k_{k}", F.when(F.col("_hot_value").isNull(), F.col(k)))
-    others = seen.join(cold.select(*[F.col(k).alias(f"_k_{k}") for k in key], "_cold_value"), [f"_k_{k}" for k in key], "left")
-    return others.select(*left.columns, *[F.coalesce(F.col("_hot_value")[k], F.col("_cold_value")[k]).alias(k) for k in keep])
+        without_key = without_key | F.col(k).isNull()
+    settled = F.col("_hot_value").isNotNull() | without_key
+    # hot and keyless rows are done here: with a null key in the join below they would all meet in one task
+    done = seen.filter(settled).select(*left.columns, *[F.col("_hot_value")[k].alias(k) for k in keep])
+    rest = seen.filter(~settled).drop("_hot_value").join(cold, key, "left")
+    return done.unionByName(rest.select(*left.columns, *[F.col("_cold_value")[k].alias(k) for k in keep]))
