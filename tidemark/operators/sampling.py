@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.engine import cut, number_rows, rank_in_groups
+from tidemark.engine import broadcast_if_small, cut, number_rows, rank_in_groups
 
 
 def quartile_bins(rows: DataFrame, column: str, name: str) -> DataFrame:
@@ -58,7 +58,7 @@ def stress_sample(rows: DataFrame, dims: list, size: int, seed: str = "stress",
     out = rows
     for d in dims:
         counts = rows.groupBy(d).agg(F.count("*").alias(f"_n_{d}"))
-        out = out.join(F.broadcast(counts), out[d].eqNullSafe(counts[d])).drop(counts[d])
+        out = out.join(broadcast_if_small(counts), out[d].eqNullSafe(counts[d])).drop(counts[d])
     weight = sum((1.0 / F.col(f"_n_{d}") for d in dims), F.lit(0.0))
     drawn = out.withColumn("_draw", F.round(-F.log(unit_hash(seed, F.col(key))) / weight, 6)).orderBy("_draw", key).limit(size)
     return drawn.select(rows.columns)
@@ -102,4 +102,4 @@ def representative_sample(rows: DataFrame, dims: list, size: int, seed: str = "p
     taken = cells.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(choose, schema)
     ranked = rank_in_groups(rows.withColumn("_h", F.sha2(F.concat(F.lit(seed), F.char(F.lit(0)), F.col(key)), 256)), dims, ["_h", key], "_r")
     on = [ranked[d].eqNullSafe(taken[d]) for d in dims]
-    return ranked.join(F.broadcast(taken), on).filter("_r <= take").select(*[ranked[c] for c in rows.columns])
+    return ranked.join(broadcast_if_small(taken), on).filter("_r <= take").select(*[ranked[c] for c in rows.columns])

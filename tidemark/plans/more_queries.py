@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.engine import number_rows, table
+from tidemark.engine import broadcast_if_small, number_rows, table
 from tidemark.functions import cards, lookups, text
 from tidemark.operators import catalog as cat
 from tidemark.operators import metrics, policy, retrieval, sampling, simulate, store
@@ -171,7 +171,7 @@ def starter_search(spark, sf_dir):
     items = table(spark, sf_dir, "benchmark_items").select(F.col("item_id").alias("query_id"), F.explode(text.terms(F.col("text"))).alias("term"))
     asked = items.filter((F.length("term") > 1) & ~F.col("term").isin(*cards.STOPWORDS))
     have = products(spark, sf_dir).select("parent_asin", F.explode(text.terms(text.search_text())).alias("term"))
-    hits = have.join(F.broadcast(asked), "term").groupBy("query_id", "parent_asin").agg(F.count("*").alias("hits"))
+    hits = have.join(broadcast_if_small(asked), "term").groupBy("query_id", "parent_asin").agg(F.count("*").alias("hits"))
     return retrieval.top_k(hits, ["query_id"], 10, F.col("hits").desc(), F.col("parent_asin")).select("query_id", "parent_asin", "hits", "rank")
 
 
