@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.engine import broadcast_if_small
+from tidemark.engine import broadcast_if_small, cut, number_rows, spread
 from tidemark.functions import lookups, text
 from tidemark.operators.catalog import with_ranks
 
@@ -40,14 +42,6 @@ def bm25(queries: DataFrame, terms: DataFrame, lengths: DataFrame, key: str) ->
     return hit.groupBy("query_id", key).agg(F.sum(part).alias("score"))
 
 
-def telling_terms(terms: DataFrame, postings: DataFrame, products: int, share: float, least: int = 1000) -> DataFrame:
-    """The query terms (query_id, term) that at most ``share`` of the products, or ``least`` of them, have; ``postings``
-    (parent_asin, term)."""
-    asked = broadcast_if_small(terms.select("term").distinct())
-    known = postings.join(asked, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") <= max(share * products, least))
-    return terms.join(broadcast_if_small(known.select("term")), "term", "left_semi").select("query_id", "term")
-
-
 def mask_scores(queries: DataFrame, term_fields: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """(query_id, parent_asin, score): for each query term that a product has, the weights of the fields that have it.
 
@@ -57,6 +51,71 @@ def mask_scores(queries: DataFrame, term_fields: DataFrame, terms: DataFrame | N
     return term_fields.select("parent_asin", "term", "weight").join(wanted, "term").groupBy("query_id", "parent_asin").agg(F.sum("weight").alias("score"))
 
 
+def mask_columns(terms: DataFrame, term_fields: DataFrame, quality: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What mask_top needs of the products: (parent_asin, place), numbered from the best quality on, by id where equal;
+    (term, word), the asked terms numbered; (place, word, weight) of the products that have them."""
+    order = quality.select("parent_asin", (-F.round("quality", 9)).alias("_q"))
+    places = cut(number_rows(order, ["_q", "parent_asin"], "place").select("parent_asin", "place"))
+    words = cut(number_rows(terms.select("term").distinct(), ["term"], "word").select("term", F.col("word").cast("int").alias("word")))
+    held = term_fields.select("parent_asin", "term", "weight").join(words, "term").join(places, "parent_asin")
+    return places, words, cut(held.select("place", "word", F.col("weight").cast("float").alias("weight")))
+
+
+def mask_top(terms: DataFrame, prepared: tuple[DataFrame, DataFrame, DataFrame], k: int, part: int = 500_000) -> DataFrame:
+    """(query_id, parent_asin, score, rank): each query's first ``k`` products by mask_scores, then quality, then id.
+
+    Every term of ``terms`` (query_id, term) counts, however many products have it; ``prepared`` comes of mask_columns
+    for these terms or more. ``part`` products at a time are broadcast by term, each query adds up those of its terms,
+    and only k rows a query and part are shuffled. Sums have 32 bits: the field weights are halves, so they are exact."""
+    places, words, columns = prepared
+    asked = cut(spread(terms.distinct().join(words, "term").groupBy("query_id").agg(F.collect_list("word").alias("words")), "query_id"))
+    near = [_mask_part(asked, columns.filter((F.col("place") >= start) & (F.col("place") < start + part)), start, k) for start in range(0, max(1, places.count()), part)]
+    best = top_k(reduce(DataFrame.unionByName, near), ["query_id"], k, F.col("score").desc(), F.col("place"))
+    return best.join(places, "place").select("query_id", "parent_asin", "score", "rank")
+
+
+def _mask_part(asked: DataFrame, columns: DataFrame, start: int, k: int) -> DataFrame:
+    rows = columns.toPandas().sort_values(["word", "place"], kind="stable")
+    word, first = np.unique(rows["word"].to_numpy(), return_index=True)
+    place = (rows["place"].to_numpy() - start).astype(np.int32)
+    held = columns.sparkSession.sparkContext.broadcast((word, np.append(first, len(rows)), place, rows["weight"].to_numpy(np.float32)))
+
+    def search(batches):
+        word, bounds, place, weight = held.value
+        at, size, dense = {int(w): i for i, w in enumerate(word)}, int(place.max()) + 1 if len(place) else 0, {}
+        head = max(4096, k)
+
+        def add(sums, i):
+            p, w = place[bounds[i] : bounds[i + 1]], weight[bounds[i] : bounds[i + 1]]
+            if len(p) * 50 < size:
+                sums[p] += w
+                return
+            if i not in dense:
+                if len(dense) * size > 25_000_000:  # 100 MB
+                    dense.clear()
+                dense[i] = np.zeros(size, np.float32)
+                dense[i][p] = w
+            np.add(sums, dense[i], out=sums)
+
+        for batch in batches:
+            out = []
+            for query, words in zip(batch["query_id"], batch["words"], strict=True):
+                sums = np.zeros(size, np.float32)
+                for i in [at[w] for w in words if w in at]:
+                    add(sums, i)
+                least, here = np.float32(0), sums[:head]
+                if len(here) > k:
+                    least = max(np.partition(here, len(here) - k)[len(here) - k], least)
+                # k products of the head have the least score already, so behind it only higher ones can enter
+                near = np.concatenate([np.flatnonzero((here >= least) & (here > 0)), len(here) + np.flatnonzero(sums[head:] > least)])
+                near = near[np.argsort(-sums[near], kind="stable")[:k]]
+                out.append((np.full(len(near), query), near + start, sums[near].astype(np.float64)))
+            if out:
+                yield pd.DataFrame({c: np.concatenate(x) for c, x in zip(["query_id", "place", "score"], zip(*out, strict=True), strict=True)})
+
+    return asked.mapInPandas(search, "query_id bigint, place bigint, score double")
+
+
 def top_k(scored: DataFrame, by: list, k: int, *order) -> DataFrame:
     """The first ``k`` rows of each group with their rank; groups are cut to k rows before the shuffle."""
     return with_ranks(scored, by, list(order)).filter(F.col("rank") <= k)
