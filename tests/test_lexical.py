@@ -19,13 +19,13 @@ def test_mask_top_against_brute_force(spark):
     quality = {f"P{i:05d}": rng.choice([0.1, 0.5, 0.9]) for i in range(6000)}
     asked = {q: rng.sample("abcdefg", rng.randint(1, 5)) for q in range(20)} | {99: ["g"]}
     terms = spark.createDataFrame([(q, t) for q, ts in asked.items() for t in ts], "query_id bigint, term string")
-    prepared = retrieval.mask_columns(terms, spark.createDataFrame([(p, t, w) for (p, t), w in fields.items()], "parent_asin string, term string, weight double"), spark.createDataFrame(list(quality.items()), "parent_asin string, quality double"))
+    fields_of, quality_of = (spark.createDataFrame([(p, t, w) for (p, t), w in fields.items()], "parent_asin string, term string, weight double"), spark.createDataFrame(list(quality.items()), "parent_asin string, quality double"))
     wanted = {}
     for q, ts in asked.items():
         scores = {p: s for p in quality if (s := sum(fields.get((p, t), 0.0) for t in ts))}
         wanted[q] = [(p, scores[p]) for p in sorted(scores, key=lambda p: (-scores[p], -quality[p], p))[:30]]
     for part in (1000, 500_000):
         got = {q: [] for q in asked}
-        for r in retrieval.mask_top(terms, prepared, 30, part).orderBy("query_id", "rank").collect():
+        for r in retrieval.mask_top(terms, retrieval.mask_columns(terms, fields_of, quality_of, part), 30).orderBy("query_id", "rank").collect():
             got[r.query_id].append((r.parent_asin, r.score))
         assert got == {q: w for q, w in wanted.items()}

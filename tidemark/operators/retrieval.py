@@ -51,37 +51,42 @@ def mask_scores(queries: DataFrame, term_fields: DataFrame, terms: DataFrame | N
     return term_fields.select("parent_asin", "term", "weight").join(wanted, "term").groupBy("query_id", "parent_asin").agg(F.sum("weight").alias("score"))
 
 
-def mask_columns(terms: DataFrame, term_fields: DataFrame, quality: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def mask_columns(terms: DataFrame, term_fields: DataFrame, quality: DataFrame, part: int = 100_000) -> tuple[DataFrame, DataFrame, list]:
     """What mask_top needs of the products: (parent_asin, place), numbered from the best quality on, by id where equal;
-    (term, word), the asked terms numbered; (place, word, weight) of the products that have them."""
+    (term, word), the asked terms numbered; and, broadcast for each ``part`` products, the first place, the words, where
+    each one's products begin, these products and their weights."""
     order = quality.select("parent_asin", (-F.round("quality", 9)).alias("_q"))
     places = cut(number_rows(order, ["_q", "parent_asin"], "place").select("parent_asin", "place"))
     words = cut(number_rows(terms.select("term").distinct(), ["term"], "word").select("term", F.col("word").cast("int").alias("word")))
-    held = term_fields.select("parent_asin", "term", "weight").join(words, "term").join(places, "parent_asin")
-    return places, words, cut(held.select("place", "word", F.col("weight").cast("float").alias("weight")))
-
-
-def mask_top(terms: DataFrame, prepared: tuple[DataFrame, DataFrame, DataFrame], k: int, part: int = 500_000) -> DataFrame:
+    columns = term_fields.select("parent_asin", "term", "weight").join(words, "term").join(places, "parent_asin")
+    columns = cut(columns.select("place", "word", F.col("weight").cast("float").alias("weight")))
+    held = []
+    for start in range(0, places.count(), part):
+        rows = columns.filter((F.col("place") >= start) & (F.col("place") < start + part)).select((F.col("place") - start).cast("int").alias("place"), "word", "weight").toArrow()
+        place, word, weight = (rows[c].to_numpy() for c in ("place", "word", "weight"))
+        del rows
+        by_word = np.lexsort((place, word))
+        found, first = np.unique(word[by_word], return_index=True)
+        held.append(columns.sparkSession.sparkContext.broadcast((start, found, np.append(first, len(word)), place[by_word], weight[by_word])))
+    return places, words, held
+
+
+def mask_top(terms: DataFrame, prepared: tuple[DataFrame, DataFrame, list], k: int) -> DataFrame:
     """(query_id, parent_asin, score, rank): each query's first ``k`` products by mask_scores, then quality, then id.
 
     Every term of ``terms`` (query_id, term) counts, however many products have it; ``prepared`` comes of mask_columns
-    for these terms or more. ``part`` products at a time are broadcast by term, each query adds up those of its terms,
-    and only k rows a query and part are shuffled. Sums have 32 bits: the field weights are halves, so they are exact."""
-    places, words, columns = prepared
+    for these terms or more. Each query adds up the products of its terms, and only k rows a query and part are
+    shuffled. Sums have 32 bits: the field weights are halves, so they are exact."""
+    places, words, held = prepared
     asked = cut(spread(terms.distinct().join(words, "term").groupBy("query_id").agg(F.collect_list("word").alias("words")), "query_id"))
-    near = [_mask_part(asked, columns.filter((F.col("place") >= start) & (F.col("place") < start + part)), start, k) for start in range(0, max(1, places.count()), part)]
+    near = [_mask_part(asked, columns, k) for columns in held] or [asked.selectExpr("query_id", "0L AS place", "0D AS score").limit(0)]
     best = top_k(reduce(DataFrame.unionByName, near), ["query_id"], k, F.col("score").desc(), F.col("place"))
     return best.join(places, "place").select("query_id", "parent_asin", "score", "rank")
 
 
-def _mask_part(asked: DataFrame, columns: DataFrame, start: int, k: int) -> DataFrame:
-    rows = columns.toPandas().sort_values(["word", "place"], kind="stable")
-    word, first = np.unique(rows["word"].to_numpy(), return_index=True)
-    place = (rows["place"].to_numpy() - start).astype(np.int32)
-    held = columns.sparkSession.sparkContext.broadcast((word, np.append(first, len(rows)), place, rows["weight"].to_numpy(np.float32)))
-
+def _mask_part(asked: DataFrame, held, k: int) -> DataFrame:
     def search(batches):
-        word, bounds, place, weight = held.value
+        start, word, bounds, place, weight = held.value
         at, size, dense = {int(w): i for i, w in enumerate(word)}, int(place.max()) + 1 if len(place) else 0, {}
         head = max(4096, k)
 

@@ -35,24 +35,22 @@ def run(labels: DataFrame, products: DataFrame, rounds: int = 10, k: int = looku
     that weren't shown to it before are shown; a session ends when its target is among them. Every round is one job
     over all open sessions, cut from its lineage."""
     cards = intent_cards(products)
-    # kept as they lie, by product, so that no round shuffles them; a lost part is built again
-    terms = cat.term_fields(products).select("parent_asin", "term", "weight").persist()
-    quality = cat.with_quality(products).select("parent_asin", "quality").persist()
     ids = labels.withColumn("query_id", F.xxhash64("session_id"))
     open_ = cut(ids.join(cards.withColumnRenamed("parent_asin", "target"), "target"))
+    said = lambda turn: retrieval.query_terms(open_.select("query_id", F.array_join(F.slice("card", 1, turn), " ").alias("text")))
+    # a round's terms are the first of the last round's
+    prepared = retrieval.mask_columns(said(rounds), cat.term_fields(products), cat.with_quality(products))
     shown, done = None, None
     for turn in range(1, rounds + 1):
-        asked = open_.select("query_id", F.array_join(F.slice("card", 1, turn), " ").alias("text"))
-        scored = retrieval.mask_scores(asked, terms)
+        # k more than were shown, so that k are left without those
+        best = retrieval.mask_top(said(turn), prepared, k * turn)
         if shown is not None:
-            scored = scored.join(shown, ["query_id", "parent_asin"], "left_anti")
-        top = cut(retrieval.top_k(scored.join(quality, "parent_asin"), ["query_id"], k, F.col("score").desc(), F.round("quality", 9).desc(), F.col("parent_asin")).select("query_id", "parent_asin", "rank"))
+            best = best.join(shown, ["query_id", "parent_asin"], "left_anti")
+        top = cut(retrieval.top_k(best.withColumnRenamed("rank", "_was"), ["query_id"], k, F.col("_was")).select("query_id", "parent_asin", "rank"))
         hits = top.join(open_.select("query_id", F.col("target").alias("parent_asin")), ["query_id", "parent_asin"]).select("query_id", F.lit(turn).alias("first_hit_turn"), "rank")
         done = hits if done is None else done.unionByName(hits)
         seen = top.select("query_id", "parent_asin")
         shown = seen if shown is None else shown.unionByName(seen)
         open_ = cut(open_.join(hits, "query_id", "left_anti"))
-    terms.unpersist()
-    quality.unpersist()
     out = ids.join(done, "query_id", "left")
     return out.select("session_id", F.col("rank").isNotNull().alias("hit"), "first_hit_turn", F.col("rank").alias("best_rank"), F.round(F.coalesce(1.0 / F.col("rank"), F.lit(0.0)), 6).alias("reciprocal_rank"))

@@ -95,7 +95,7 @@ def respond_turns(spark, sf_dir):
 def simulate_sessions(spark, sf_dir):
     feedback = store.latest_feedback(table(spark, sf_dir, "product_feedback"))
     labels = feedback.groupBy("session_id").agg(F.min("parent_asin").alias("target"))
-    return simulate.run(labels, products(spark, sf_dir), rounds=4)
+    return simulate.run(labels, products(spark, sf_dir))
 
 
 _LATEST = """latest AS (SELECT * REPLACE (lower(trim(session_id)) AS session_id, lower(trim(status)) AS status) FROM turns WHERE trim(session_id) <> '' AND turn IS NOT NULL
