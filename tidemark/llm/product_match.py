@@ -209,32 +209,46 @@ def same_size(a: float, b: float) -> bool:
 
 def _links(idf):
     def run(batches):
-        """Rows come sorted by block, then model (none first): each is compared with the leaders of its block that
-        have its model or none, and becomes a leader itself where no one matches."""
+        """Rows come sorted by block, then model (none first): each is compared with the classes before it in its
+        block that have its model, until all that match it are joined to it: of those that hang together already, one
+        link is enough. Those with a model are also compared with those without one, in the same way."""
         weights = idf.value
-        block, free, own, model = None, [], [], None
+        block, free, own, model = None, Joined(), Joined(), None
         for batch in batches:
             rows = []
             for r in batch.itertuples(index=False):
                 if r.block != block:
-                    block, free, own, model = r.block, [], [], None
+                    block, free, own, model = r.block, Joined(), Joined(), None
                 if r.model != model:
-                    own, model = [], r.model
-                name, matched = (r.first, r.second, r.first_idf, r.second_idf), False
-                for leader in own if r.model else free:
-                    if same_size(leader[2], r.size) and cosine(leader[1], name, weights, r.model) >= LEAST_COSINE:
-                        rows.append((leader[0], r.class_id, "same"))
-                        matched = True
-                        break
-                if not matched:
-                    (own if r.model else free).append((r.class_id, name, r.size))
+                    own, model = Joined(), r.model
+                name = (r.first, r.second, r.first_idf, r.second_idf)
+                near = lambda code, name=name, size=r.size: lambda m: same_size(m[2], size) and cosine(m[1], name, weights, code) >= LEAST_COSINE
+                rows += [(m, r.class_id, "same") for m in (own if r.model else free).add((r.class_id, name, r.size), near(r.model))]
                 if r.model:
-                    rows += [(r.class_id, f[0], r.model) for f in free if same_size(f[2], r.size) and cosine(f[1], name, weights) >= LEAST_COSINE]
+                    rows += [(r.class_id, f, r.model) for _, f in free.met(near(None))]
             yield pd.DataFrame(rows, columns=["a", "b", "through"])
 
     return run
 
 
+class Joined:
+    """Members (id, name, size) of a block in groups that hang together."""
+
+    def __init__(self):
+        self.groups: list[list] = []
+
+    def met(self, near) -> list[tuple[list, int]]:
+        """Each group of which a member is near, with the first such member's id."""
+        return [(g, m[0]) for g in self.groups for m in [next((m for m in g if near(m)), None)] if m]
+
+    def add(self, new: tuple, near) -> list[int]:
+        """Put ``new`` with all groups it is near to; the ids of the members that met it, one a group."""
+        met = self.met(near)
+        gone = {id(g) for g, _ in met}
+        self.groups = [g for g in self.groups if id(g) not in gone] + [[m for g, _ in met for m in g] + [new]]
+        return [m for _, m in met]
+
+
 def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, label) with the least node of each connected component, by label propagation with pointer jumping.
 
@@ -258,8 +272,9 @@ def product_groups(catalog: DataFrame, colours: DataFrame) -> DataFrame:
 
     Listings that state the same (rare words, model code, kind, colour, pack count, measure) make a class, however
     many they are. Classes meet in blocks of a rare word (up to one letter) and equal kind, colour, pack count and
-    about equal measure; in a block each is compared with the block's leaders, not with all others. Two different
-    model codes are never the same; a class without a code joins that with the most listings among those it fits.
+    about equal measure; in a block each is compared with all it doesn't hang together with yet. Two different
+    model codes are never the same; classes without a code that hang together join that with the most listings among
+    those they fit.
     Prices, audience, ratings, details and the store don't decide. Nulls in any field are no statement; an unstated
     colour, measure or kind equals only an unstated one; an unstated pack count is one piece. An empty table gives
     no group.
@@ -284,11 +299,14 @@ def product_groups(catalog: DataFrame, colours: DataFrame) -> DataFrame:
     named_blocks = spread(named_blocks, "block")
     found = named_blocks.sortWithinPartitions("block", F.col("model").asc_nulls_first(), "first", "second", "class_id").mapInPandas(_links(shared), "a bigint, b bigint, through string").filter("a <> b").distinct()
     found = cut(found)
-    # a class without model code goes with one model only: the one with the most listings behind it
-    coded = found.filter("through <> 'same'").join(classes.select(F.col("class_id").alias("a"), "members"), "a")
-    weight = coded.groupBy("b", "through").agg(F.sum("members").alias("m"))
-    chosen = weight.groupBy("b").agg(F.max_by("through", F.struct("m", "through")).alias("through"))
-    links = found.filter("through = 'same'").select("a", "b").unionByName(coded.join(chosen, ["b", "through"]).select("a", "b"))
+    # classes without model code that hang together go with one model only: the one with the most listings behind it
+    same = found.filter("through = 'same'").select("a", "b")
+    coded = found.filter("through <> 'same'")
+    joined = components(same, classes.select(F.col("class_id").alias("node"))).select(F.col("node").alias("b"), F.col("label").alias("free"))
+    coded = cut(coded.join(joined, "b"))
+    weight = coded.select("a", "through", "free").distinct().join(classes.select(F.col("class_id").alias("a"), "members"), "a").groupBy("free", "through").agg(F.sum("members").alias("m"))
+    chosen = weight.groupBy("free").agg(F.max_by("through", F.struct("m", "through")).alias("through"))
+    links = same.unionByName(coded.join(chosen, ["free", "through"]).select("a", "b"))
     labels = components(links, classes.select(F.col("class_id").alias("node")))
     groups = labels.select(F.col("node").alias("class_id"), F.col("label").alias("group_id")).join(classes.select("class_id", "members"), "class_id")
     return lookup_skewed(sized, groups, ["class_id"], "members", ["group_id"]).select("asin", "group_id", "model")
