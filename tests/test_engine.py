@@ -1,3 +1,7 @@
+from types import SimpleNamespace
+
+import pytest
+
 from tidemark import engine
 from tidemark.operators import catalog as cat
 
@@ -31,6 +35,13 @@ def test_shared_dir_is_the_sessions(spark):
     assert engine.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
 
 
+def test_no_local_folder_on_a_cluster():
+    conf = SimpleNamespace(get=lambda *_: None)
+    context = SimpleNamespace(master="spark://host:7077", getConf=lambda: conf, getCheckpointDir=lambda: None)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        engine.shared_dir(SimpleNamespace(sparkContext=context, conf=conf))
+
+
 def test_trimmed_takes_any_white_space(spark):
     df = spark.createDataFrame([(" \t x y　 ",), (None,), (" ",)], "t string")
     assert [r[0] for r in df.select(engine.trimmed("t")).collect()] == ["x y", None, ""]

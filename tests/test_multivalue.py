@@ -45,3 +45,27 @@ def test_hot_cell_repeats_and_nulls(spark, rows):
 def test_long_cell(spark):
     cell = "; ".join(["v1", "v2"] * 1500)
     assert mv.split_values(catalog(spark, [cell, "v1", "v2"]), ("Material",)).count() == 3000
+
+
+@pytest.mark.parametrize("marks", [",;|/&", ",;|/&+", ",;|/&+·", ",;|/&+·•"])
+def test_all_mark_sets_are_read(marks):
+    cell = "".join(f"v{i}x {m} " for i, m in enumerate(marks)) + "w"
+    found = mv.dialects(cell)
+    assert {frozenset(d[0]) for d in found} == {frozenset(s) for s in mv.subsets(tuple(marks))}
+    assert len({tuple(mv.split(mv.inner(cell), *d)) for d in found}) == len(found) == 2 ** len(marks)
+
+
+def test_all_quote_sets_are_read():
+    cell = '"a, b", \'c, d\', «e, f», “g, h”'
+    assert {frozenset(d[1]) for d in mv.dialects(cell) if d[0]} == {frozenset(s) for s in mv.subsets(('"', "'", "«", "“"))}
+
+
+def test_marks_inside_numbers_part_nothing():
+    assert mv.dialects("1,250 cm") == [((), (), False)]
+
+
+def test_cell_of_six_marks(spark, rows):
+    values = ["Alpha/Beta", "Gamma & Co", "Delta|Wool", "Eps, soft", "Zeta + Eta", "Theta"]
+    plain = ["Alpha Beta", "Gamma Co", "Delta Wool", "Eps soft", "Zeta Eta", "Theta"] * 4
+    found = mv.split_values(catalog(spark, [*plain, "; ".join(values)]), ("Material",))
+    assert rows(found.filter("parent_asin = 'P24'"), "pos", "item_text") == list(enumerate(values, 1))

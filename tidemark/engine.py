@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -27,11 +29,16 @@ def trimmed(column):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where the session names none (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where the session names none, one of this machine's, gone
+    at the end, if all executors are in this process (tests); on a cluster that is an error."""
     context = spark.sparkContext
     here = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
-        here = here or tempfile.mkdtemp(prefix="tidemark-")
+        if not here:
+            if not (context.master == "local" or context.master.startswith("local[")):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            here = tempfile.mkdtemp(prefix="tidemark-")
+            atexit.register(shutil.rmtree, here, ignore_errors=True)
         context.setCheckpointDir(here)
     return here or context.getCheckpointDir()
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from hashlib import blake2b
 from itertools import combinations
 
 import pandas as pd
@@ -56,15 +57,23 @@ def inner(cell: str) -> str:
     return cell
 
 
+def _cuts(text: str, marks: tuple, tight: bool) -> list[tuple[int, int]]:
+    """Where the marks lie outside numbers and placeholders."""
+    if not marks:
+        return []
+    kept = [m.span() for m in _NUMBER.finditer(text) if not (tight and _TIGHT.fullmatch(m[0]))]
+    kept += [m.span() for m in _PLACEHOLDER.finditer(text)]
+    inside = {i for a, b in kept for i in range(a, b)}
+    return [m.span() for m in _splitter(marks).finditer(text) if m.start() not in inside]
+
+
 def split(text: str, marks: tuple, quotes: tuple, tight: bool = False) -> list[str]:
     """The values of ``text`` in one dialect: pieces between ``marks`` that lie outside quotes, numbers and placeholders.
 
     A quote opens only at the start of a piece and closes only at its end; one that doesn't close is plain text.
     ``tight`` reads a comma between a number and two or more digits as a mark. Empty pieces are left out.
     """
-    kept = [m.span() for m in _NUMBER.finditer(text) if not (tight and _TIGHT.fullmatch(m[0]))] + [m.span() for m in _PLACEHOLDER.finditer(text)]
-    inside = {i for a, b in kept for i in range(a, b)}
-    cuts = [m.span() for m in _splitter(marks).finditer(text) if m.start() not in inside] if marks else []
+    cuts = _cuts(text, marks, tight)
     pieces, at, k = [], 0, 0
     while at <= len(text):
         start = at
@@ -102,24 +111,39 @@ def split(text: str, marks: tuple, quotes: tuple, tight: bool = False) -> list[s
     return [p for p in pieces if p]
 
 
-def dialects(cell: str) -> list[tuple]:
-    """All (marks, quotes, tight) that read the cell differently, the finest first."""
+def subsets(items: tuple) -> list[tuple]:
+    """All subsets, the largest first."""
+    return [some for n in range(len(items), -1, -1) for some in combinations(items, n)]
+
+
+def readings(cell: str):
+    """Each dialect (marks, quotes, tight) that reads the cell differently, with its values; the finest first.
+
+    Every set of the marks and quotes that the cell has is tried, however many: 2 to the power of the number of their
+    kinds, of which there are fourteen and five. Marks that only lie inside numbers or placeholders part nothing and
+    aren't tried."""
     text = inner(cell)
     if text.lower() in PLACEHOLDERS:
-        return [((), (), False)]
-    marks = tuple(m for m in DELIMITERS if (m in text if m != "and" else _splitter(("and",)).search(text)))
+        yield ((), (), False), split(text, (), ())
+        return
+    tight_too = _TIGHT.search(text)
+    marks = tuple(m for m in DELIMITERS if _cuts(text, (m,), m == "," and bool(tight_too)))
     quotes = tuple(q for q in QUOTES if q in text)
-    sizes = range(len(marks), -1, -1) if len(marks) <= 4 else (len(marks), 2, 1, 0)
-    found, seen = [], set()
-    for n in sizes:
-        for some in combinations(marks, n):
-            for with_quotes in [quotes, *[(q,) for q in quotes if len(quotes) > 1], *[()] * bool(quotes)]:
-                for tight in (False, True) if "," in some and _TIGHT.search(text) else (False,):
-                    read = tuple(split(text, some, with_quotes, tight))
-                    if read not in seen:
-                        seen.add(read)
-                        found.append((some, with_quotes, tight))
-    return found
+    seen = set()
+    for some in subsets(marks):
+        for with_quotes in subsets(quotes):
+            for tight in (False, True) if "," in some and tight_too else (False,):
+                read = split(text, some, with_quotes, tight)
+                # a reading is known by its digest: readings of a long cell would fill the memory
+                digest = blake2b("\x00".join(read).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                if digest not in seen:
+                    seen.add(digest)
+                    yield (some, with_quotes, tight), read
+
+
+def dialects(cell: str) -> list[tuple]:
+    """The dialects of readings()."""
+    return [dialect for dialect, _ in readings(cell)]
 
 
 def code_key(value: str) -> str:
@@ -136,19 +160,25 @@ def _unspell(name: str) -> tuple:
     return tuple(m for m in marks.split("\x01") if m), tuple(quotes), bool(tight)
 
 
+PARSE_COLUMNS = ["field_name", "cell", "rank", "dialect", "mark_bits", "keys", "lengths", "own"]
+
+
 def _parses(batches):
     for batch in batches:
-        rows = []
+        rows, held = [], 0
         for field, cell in zip(batch["field_name"], batch["cell"], strict=True):
-            text, own = inner(cell), set()
-            for rank, dialect in enumerate(dialects(cell)):
-                values = split(text, *dialect)
+            own = set()
+            for rank, (dialect, values) in enumerate(readings(cell)):
+                if held > 1_000_000:  # characters: a cell of many marks has many readings
+                    yield pd.DataFrame(rows, columns=PARSE_COLUMNS)
+                    rows, held = [], 0
+                held += len(cell)
                 keys = [code_key(v) for v in values]
                 own = own or set(keys)
                 left = sum(len(_LEFT.findall(_NUMBER.sub("", v))) for v in values)
                 bits = MARK_BITS * (len(dialect[0]) + len(dialect[1])) + LEFT_BITS * left + TORN_BITS * sum(bool(_TORN.search(v)) for v in values)
                 rows.append((field, cell, rank, _spell(dialect), bits, keys, [len(v) for v in values], [k in own for k in keys]))
-        yield pd.DataFrame(rows, columns=["field_name", "cell", "rank", "dialect", "mark_bits", "keys", "lengths", "own"])
+        yield pd.DataFrame(rows, columns=PARSE_COLUMNS)
 
 
 def choose_dialects(cells: DataFrame) -> DataFrame:
