@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import pytest
@@ -26,14 +27,51 @@ def osa(a, b):
 @given(st.lists(st.text("abc ", min_size=1, max_size=6), min_size=1, max_size=6), st.text("abc ", max_size=6), st.integers(0, 3))
 def test_automaton_agrees_with_brute_force(entries, text, most):
     trie = c.Trie([])
-    for i, e in enumerate(entries):
-        node = trie.root
-        for ch in e:
-            node = node.setdefault(ch, {})
-        node.setdefault("", []).append((i, 99))
+    trie.root = c.Node({(i, e, (), "", False) for i, e in enumerate(entries)}, 0)
     assert trie.search(text, most) == {i: osa(e, text) for i, e in enumerate(entries) if osa(e, text) <= most}
 
 
+def paths(canonical):
+    """All aliases of an entry with the edits they leave, written out."""
+    parts, out = c.words(canonical), {}
+    for some in itertools.product(*[(w, c.skeleton(w)) for w in parts]):
+        for path in (" ".join(some), "".join(some)):
+            if len(path) >= 3:
+                out[path] = 1 if len(path) > 4 else 0
+    for order in itertools.permutations(parts):
+        out |= {" ".join(order): 9, "".join(order): 9}
+    return out
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.text("abe", min_size=1, max_size=3), min_size=1, max_size=4), min_size=1, max_size=3), st.text("abe ", max_size=9), st.integers(0, 3))
+def test_trie_has_all_aliases(entries, text, most):
+    wanted = {}
+    for i, parts in enumerate(entries):
+        near = [d for path, room in paths(" ".join(parts)).items() if (d := osa(path, text)) <= min(room, most)]
+        if near:
+            wanted[i] = min(near)
+    assert c.Trie([(i, " ".join(parts)) for i, parts in enumerate(entries)]).search(text, most) == wanted
+
+
+@pytest.mark.parametrize("n", [4, 5, 6, 12])
+def test_many_words_in_any_order(n):
+    names = "amber birch cedar dusky ebony flint grove hazel ivory jade khaki lilac".split()[:n]
+    trie, rng = c.Trie([(1, " ".join(names)), (2, "amber birch")]), random.Random(n)
+    for _ in range(20):
+        rng.shuffle(names)
+        typed = " ".join(names)
+        assert c.resolve(trie, "Color", typed) == c.resolve(trie, "Color", "".join(names)) == 1
+        assert c.resolve(trie, "Color", typed[:5] + "x" + typed[5:]) == 1
+    assert trie.made < 20_000 * n
+
+
+def test_full_trie_begins_anew(monkeypatch):
+    monkeypatch.setattr(c, "MOST_NODES", 10)
+    trie = c.Trie(COLOURS)
+    assert [c.resolve(trie, "Color", t) for t in ("navy blu", "teel", "ivory")] == [1, 2, 5]
+
+
 @pytest.mark.parametrize(("text", "wanted"), [
     ("navy blue", 1), ("NavyBlue", 1), ("Blue, Navy", 1), ("Nàvy  Blue #12", 1), ("color: lemon", 4), ("in lemon", 4), ("Lemon (38)", 4), ("lemon!", 4), ("Lemonish", 4), ("lEMN", 4), ("ivry", 5), ("mstrd yellow", 6), ("Charcal Gray no. 7", 7),
     ("Te4l", 2), ("N/A", -1), ("unknown", -1), ("opt 355", -1), ("swatch 1", -1), ("0", -1), ("?", -1), ("Vuulkrin", -1), ("multi", -1), ("no. 17", -1), ("x", -1), ("", -1), ("😀", -1), ("lemon " * 5000, -1),

@@ -1,5 +1,9 @@
 import random
 
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
 from tidemark.llm import latex, leakage
 
 WORDS = [a + b + c for a in ("ba", "ke", "mo", "ti") for b in ("lo", "re", "su", "na") for c in ("x", "m", "t", "n")]
@@ -52,3 +56,36 @@ def test_pieces_follow_order():
 
 def test_long_document(spark):
     assert found(spark, [(1, filler(300_000) + " " + ITEMS[3][1])]) == {(3, 1)}
+
+
+@pytest.mark.parametrize("size", [1800, 2400, 60_000])
+def test_formulas_of_any_length_are_no_words(size):
+    formula = ("x_{12} + " * size)[:size]
+    for a, b in ("$$", "$$"), ("$", "$"), ("\\(", "\\)"):
+        assert latex.words(f"one {a}{formula}{b} two") == ["one", "two"]
+
+
+def test_open_formulas_end_at_an_empty_line():
+    assert latex.words("costs $5 today\n\nand $x$ later") == ["costs", "5", "today", "and", "later"]
+    assert latex.words("from \\$5 to \\$7 a piece") == ["from", "5", "to", "7", "a", "piece"]
+    assert latex.words("a line \\\\(b) $unclosed") == ["a", "line", "b", "unclosed"]
+
+
+def test_codes_are_exact_beyond_64_bits_of_words():
+    # base ** 3 of this vocabulary passes 2 ** 63
+    many = 2_100_000
+    index = leakage.Items([(1, " ".join(f"w{i}" for i in range(many)))])
+    rng = np.random.default_rng(3)
+    ids = rng.integers(1, many + 1, 300_000)
+    ids[1000:1500] = np.arange(many - 500, many) + 1
+    codes = index.codes(ids)
+    hit = np.flatnonzero(np.isin(codes, index.known) & (codes > 0))
+    wanted = [k for k in range(len(ids) - 2) if ids[k + 1] == ids[k] + 1 and ids[k + 2] == ids[k] + 2]
+    assert hit.tolist() == wanted
+
+
+def test_bound_is_checked_before_items_are_gathered(spark, monkeypatch):
+    monkeypatch.setattr(leakage, "MAX_ITEM_CHARS", 10)
+    items = spark.createDataFrame([(1, "far too many words")], "item_id bigint, text string")
+    with pytest.raises(ValueError, match="characters of items"):
+        leakage.find_leaks(items.select(F.col("item_id").alias("doc_id"), "text"), items)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from itertools import permutations, product
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -54,31 +53,66 @@ def skeleton(word: str) -> str:
     return word[:1] + re.sub("[aeiou]", "", word[1:])
 
 
-def aliases(canonical: str) -> dict[str, int]:
-    """Paths of one entry in the trie with the edits each leaves: the words in any order, written together, and
-    words shortened to their consonants (with at most one edit more)."""
-    parts, paths = words(canonical), {}
-    for order in permutations(parts) if len(parts) <= 3 else [tuple(parts)]:
-        paths[" ".join(order)] = 9
-        paths.setdefault("".join(order), 9)
-    for some in product(*[(w, skeleton(w)) for w in parts]):
-        for path in (" ".join(some), "".join(some)):
-            if len(path) >= 3:
-                paths.setdefault(path, 1 if len(path) > 4 else 0)
-    return paths
+#: Edits that a path of whole words leaves: all that the text's length allows. Nodes kept before a trie begins anew.
+ANY_EDITS, MOST_NODES = 9, 1_000_000
+
+
+class Node:
+    """A place in the trie: the entries that end here with the edits that they leave, and what may follow.
+
+    ``open`` holds, for each alias that comes through here, (entry, rest of its word, words to come, joint, shortened):
+    whole words may come in any order, shortened ones in the entry's. The nodes below are made when first asked for."""
+
+    __slots__ = ("below", "depth", "ends", "open")
+
+    def __init__(self, aliases: set, depth: int):
+        self.depth, self.below, self.ends, self.open = depth, None, [], []
+        for alias in aliases:
+            self._add(*alias)
+
+    def _add(self, ref_id, rest, to_come, joint, shortened):
+        if rest:
+            self.open.append((ref_id, rest, to_come, joint, shortened))
+        elif not to_come:
+            if not shortened:
+                self.ends.append((ref_id, ANY_EDITS))
+            elif self.depth >= 3:
+                self.ends.append((ref_id, 1 if self.depth > 4 else 0))
+        elif shortened:
+            for form in {to_come[0], skeleton(to_come[0])}:
+                self._add(ref_id, joint + form, to_come[1:], joint, True)
+        else:
+            for i, word in enumerate(to_come):
+                if word not in to_come[:i]:
+                    self._add(ref_id, joint + word, to_come[:i] + to_come[i + 1 :], joint, False)
+
+    def children(self) -> tuple[dict, int]:
+        """The nodes below by letter, and how many were made now."""
+        if self.below is not None:
+            return self.below, 0
+        follow: dict[str, set] = {}
+        for ref_id, rest, to_come, joint, shortened in self.open:
+            follow.setdefault(rest[0], set()).add((ref_id, rest[1:], to_come, joint, shortened))
+        self.below = {c: Node(aliases, self.depth + 1) for c, aliases in follow.items()}
+        return self.below, len(self.below)
 
 
 class Trie:
-    """Entries as paths of nested dicts; a node's entries are under the key ''."""
+    """Entries under their aliases: the words in any order, apart or written together, and in the entry's order words
+    shortened to their consonants (with at most one edit more). Any number of words: the orders of an entry are
+    followed word by word, by which of its words are still to come, and only as far as searches go."""
 
     def __init__(self, entries):
-        self.root: dict = {}
+        self.aliases = set()
         for ref_id, canonical in entries:
-            for path, room in aliases(canonical).items():
-                node = self.root
-                for c in path:
-                    node = node.setdefault(c, {})
-                node.setdefault("", []).append((ref_id, room))
+            parts = tuple(words(canonical))
+            for joint in (" ", "") if len(parts) > 1 else ("",):
+                for i, word in enumerate(parts):
+                    self.aliases.add((ref_id, word, tuple(sorted(parts[:i] + parts[i + 1 :])), joint, False))
+                if parts:
+                    self.aliases.add((ref_id, skeleton(parts[0]), parts[1:], joint, True))
+                    self.aliases.add((ref_id, parts[0], parts[1:], joint, True))
+        self.root, self.made = Node(self.aliases, 0), 1
 
     def search(self, text: str, most: int) -> dict[int, int]:
         """Distance (insertion, deletion, replacement, swap of neighbours) of each entry within ``most`` edits of ``text``.
@@ -86,18 +120,20 @@ class Trie:
         The automaton's state is the row of edit distances from the path so far to each prefix of ``text``; a branch
         ends once no distance of its row is within ``most``.
         """
+        if self.made > MOST_NODES:
+            self.root, self.made = Node(self.aliases, 0), 1
         found: dict[int, int] = {}
         first = list(range(len(text) + 1))
         stack = [(self.root, first, None, "")]
         while stack:
             node, row, before, last = stack.pop()
-            if "" in node and row[-1] <= most:
-                for ref_id, room in node[""]:
+            if node.ends and row[-1] <= most:
+                for ref_id, room in node.ends:
                     if row[-1] <= room:
                         found[ref_id] = min(found.get(ref_id, 99), row[-1])
-            for c, below in node.items():
-                if not c:
-                    continue
+            children, made = node.children()
+            self.made += made
+            for c, below in children.items():
                 step = [row[0] + 1]
                 for i, t in enumerate(text, 1):
                     d = min(step[i - 1] + 1, row[i] + 1, row[i - 1] + (t != c))

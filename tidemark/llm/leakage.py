@@ -16,39 +16,53 @@ GRAM = 3
 SHARE = 0.4
 #: Words that may lie between two hits of one piece (replaced ones, or words of the document's own).
 GAP, DRIFT = 6, 3
-#: Bound of what is broadcast: the items are a fixed evaluation set.
-MAX_ITEM_WORDS = 5_000_000
+#: Bounds of what is broadcast, checked before anything is gathered: the items are a fixed evaluation set.
+MAX_ITEM_WORDS, MAX_ITEM_CHARS = 5_000_000, 50_000_000
 
 
 class Items:
-    """The n-grams of all items, as sorted codes with the (item, position) pairs of each."""
+    """The n-grams of all items, as sorted codes with the (item, position) pairs of each.
+
+    Codes are numbers, not hashes: a window's code is the number of its beginning among the items' own beginnings, times
+    the size of the vocabulary, plus its last word. With at most MAX_ITEM_WORDS of each this stays in 64 bits and equal
+    codes mean equal words."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.vocabulary: dict[str, int] = {}
-        self.sizes: dict[int, int] = {}
-        grams: dict[int, list] = defaultdict(list)
         words = {i: latex.words(text) for i, text in items}
-        for own in words.values():
-            for w in own:
-                self.vocabulary.setdefault(w, len(self.vocabulary) + 1)
+        self.sizes = {i: len(own) for i, own in words.items()}
+        if sum(self.sizes.values()) > MAX_ITEM_WORDS:
+            raise ValueError(f"the items have more than {MAX_ITEM_WORDS} words")
+        ids = {i: np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in own], dtype=np.int64) for i, own in words.items()}
         self.base = len(self.vocabulary) + 1
-        for i, own in words.items():
-            self.sizes[i] = len(own)
-            for p, code in enumerate(self.codes(np.array([self.vocabulary[w] for w in own], dtype=np.int64))):
-                grams[int(code)].append((i, p))
+        self.heads: list[np.ndarray] = []
+        for n in range(2, GRAM):
+            found = [self._append(n, *self._begin(own, n)) for own in ids.values()]
+            self.heads.append(np.unique(np.concatenate([*found, np.zeros(0, dtype=np.int64)])))
+        grams: dict[int, list] = defaultdict(list)
+        for i, own in ids.items():
+            for p, code in enumerate(self.codes(own).tolist()):
+                grams[code].append((i, p))
         self.known = np.array(sorted(grams), dtype=np.int64)
         self.places = [grams[c] for c in self.known.tolist()]
 
+    def _begin(self, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the first n - 1 words of each window of n (0: in no item), and its last words."""
+        many = max(0, len(ids) - n + 1)
+        code = ids[:many]
+        for k in range(2, n):
+            code = self._append(k, code, ids[k - 1 : k - 1 + many])
+            heads = self.heads[k - 2]
+            at = np.minimum(np.searchsorted(heads, code), max(len(heads) - 1, 0))
+            code = np.where((code > 0) & (heads[at] == code), at + 1, 0) if len(heads) else np.zeros_like(code)
+        return code, ids[n - 1 : n - 1 + many]
+
+    def _append(self, n: int, head: np.ndarray, last: np.ndarray) -> np.ndarray:
+        return np.where((head > 0) & (last > 0), head * self.base + last, 0)
+
     def codes(self, ids: np.ndarray) -> np.ndarray:
-        """One code for each window of GRAM words, 0 where a word is in no item."""
-        if len(ids) < GRAM:
-            return np.zeros(0, dtype=np.int64)
-        code, sound = np.zeros(len(ids) - GRAM + 1, dtype=np.int64), np.ones(len(ids) - GRAM + 1, dtype=bool)
-        for k in range(GRAM):
-            part = ids[k : len(ids) - GRAM + 1 + k]
-            code = code * self.base + part
-            sound &= part > 0
-        return np.where(sound, code, 0)
+        """One code for each window of GRAM words, 0 where a word or the window's beginning is in no item."""
+        return self._append(GRAM, *self._begin(ids, GRAM))
 
 
 def pieces(hits: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
@@ -100,10 +114,11 @@ def find_leaks(documents: DataFrame, items: DataFrame, share: float = SHARE) ->
     item_id that repeats gives one row for a pair. Other columns are ignored; empty tables give none. No shuffle but
     that of the found pairs: only the items' n-grams are broadcast, the size of the items is checked.
     """
-    rows = items.filter("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text").distinct().collect()
-    index = Items([(r.item_id, r.text) for r in rows])
-    if sum(index.sizes.values()) > MAX_ITEM_WORDS:
-        raise ValueError(f"the items have more than {MAX_ITEM_WORDS} words")
+    rows = items.filter("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text").distinct()
+    size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
+    if size.n > MAX_ITEM_WORDS or size.chars > MAX_ITEM_CHARS:
+        raise ValueError(f"more than {MAX_ITEM_WORDS} items or {MAX_ITEM_CHARS} characters of items")
+    index = Items([(r.item_id, r.text) for r in rows.collect()])
     shared = documents.sparkSession.sparkContext.broadcast(index)
 
     def scan(batches):

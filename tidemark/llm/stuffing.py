@@ -13,8 +13,8 @@ from tidemark.llm import latex
 # The body begins behind the last of these; definitions and class lines before it are preamble.
 _BEGIN = re.compile(r"\\maketitle|\\begin\{document\}")
 _PREAMBLE = re.compile(r"^[ \t]*(?:%+[ \t]*draft[^\n]*|\\(?:document(?:class|style)|usepackage|title|author|date|(?:re)?newcommand|providecommand|def)\b[^\n]*)$", re.M)
-# Formulas, which are neither words nor clauses, and references.
-_FORMULA = re.compile(r"\\begin\{(equation|align|displaymath|eqnarray|gather|multline|math)\*?\}.*?\\end\{\1\*?\}|\$\$?[^$]{1,2000}?\$\$?|\\\(.{0,2000}?\\\)|\\\[.{0,2000}?\\\]|\\(?:cite\w*|ref|eqref|label|pageref|input|include|begin|end|bibitem|section|subsection)\*?(?:\[[^\]]*\])?\{[^{}]*\}", re.S)
+# References, which are neither words nor clauses.
+_REFERENCE = re.compile(r"\\(?:cite\w*|ref|eqref|label|pageref|input|include|begin|end|bibitem|section|subsection)\*?(?:\[[^\]]*\])?\{[^{}]*\}")
 _TOKEN = re.compile(r"(?P<url>(?:https?://|www\.)[^\s{}\\,]+)|(?P<tag>[#@]\w[\w-]*)|(?P<word>[^\W\d_]+(?:['’-][^\W\d_]+)*)|(?P<number>\d+)|(?P<end>[.!?;:](?=\s|\\|\}|$|[\"')])|\n[ \t%]*\n)|(?P<mark>[,/|&•·*=>\n]|\\\\|\\item\b)")
 
 #: Words that hold clauses together in the corpus' languages: articles, determiners, prepositions, conjunctions and
@@ -105,7 +105,7 @@ def measure(text: str) -> tuple[int, float, float]:
     function words, without a separator (comma, slash, bar, line end, link and the like) at every third word."""
     text = body(text)
     if "\\" in text:
-        text = latex.letters(_FORMULA.sub(" ", latex.expand(text)))
+        text = latex.letters(_REFERENCE.sub(" ", latex.without_formulas(latex.expand(text), displayed=True)))
     known: dict[str, int] = {}
     tokens, sizes = [], []
     word_chars = clause_chars = words = functions = chars = marks = 0
