@@ -60,6 +60,6 @@ def test_long_formulas_are_no_tokens():
     prose = "We show that the map is open and that it has a bounded kernel for each of the cases in this text. "
     short = s.measure(prose * 3)
     for a, b in ("\\begin{align*}", "\\end{align*}"), ("\\[", "\\]"), ("$$", "$$"), ("\\begin{equation}", "\\end{equation}"):
-        assert s.measure(prose + a + "x_{12} + y = " * 2000 + b + prose * 2) == short
+        assert s.measure(prose + a + "x_{12} + \\alpha y = " * 2000 + b + prose * 2) == short
     # one that is never closed is text
     assert s.measure(prose + "\\begin{align} " + prose * 2)[0] == short[0]
