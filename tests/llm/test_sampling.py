@@ -91,5 +91,38 @@ def test_plan_never_takes_more_than_there_is():
         counts = rng.integers(0, 40, len(keys))
         wants = {(0, a): (int(rng.integers(0, 30)), int(rng.integers(0, 500)), 1) for a in "xyz"} | {(1, b): (5, 500, 5) for b in "pq"}
         size = int(rng.integers(0, 120))
-        take = qs.plan_cells(counts, keys, size, wants, "s")
+        take = qs.plan_cells(counts, keys, size, wants, "s").take
         assert (take >= 0).all() and (take <= counts).all() and take.sum() == min(size, counts.sum())
+
+
+def test_rows_are_those_where_the_prefix_sum_crosses(spark):
+    rng = np.random.default_rng(11)
+    counts = np.array([1, 7, 40, 200, 3], dtype=np.int64)
+    weight = (rng.random(5) * counts * qs.UNIT).astype(np.int64)
+    weight[1] = 7 * qs.UNIT  # certain
+    before, start = np.cumsum(weight) - weight, 123_456
+    crossed = qs.crossings(before + weight, start) - qs.crossings(before, start)
+    firsts = np.cumsum(counts) - counts
+    cells = [(1, i, 0, 0, int(firsts[i]), int(counts[i]), int(weight[i]), int(before[i]), int(crossed[i]), int(crossed[i]), start) for i in range(5)]
+    schema = "plan_id int, category_no int, price_bin_no int, popularity_bin_no int, _first bigint, _n bigint, _weight bigint, _before bigint, _crossed bigint, _take bigint, _start bigint"
+    rows = [(s, f"p{s}", int(np.searchsorted(firsts, s, "right") - 1), 0, 0, "", "", "") for s in range(int(counts.sum()))]
+    numbered = spark.createDataFrame(rows, "seq bigint, parent_asin string, category_no int, price_bin_no int, popularity_bin_no int, category string, price_bin string, popularity_bin string")
+    total, wanted = 0, []
+    for i in range(5):  # row by row
+        for k in range(counts[i]):
+            old, total = total, before[i] + (k + 1) * (weight[i] // counts[i]) + (k + 1) * (weight[i] % counts[i]) // counts[i]
+            wanted += [f"p{firsts[i] + k}"] * int(qs.crossings(total, start) - qs.crossings(old, start))
+    draw = lambda cells: sorted(r.parent_asin for r in qs.chosen_rows(numbered.repartition(5), spark.createDataFrame(cells, schema)).collect())
+    assert draw(cells) == sorted(wanted) and len(set(wanted)) == len(wanted) == crossed.sum()
+    for change in (3, -3):
+        moved = [(*c[:9], c[9] + (change if c[1] == 3 else 0), c[10]) for c in cells]
+        assert len(draw(moved)) == crossed.sum() + change
+
+
+def test_many_targets_need_memory_by_cells():
+    keys = [(f"c{i}", f"q{i % 7}", None) for i in range(20_000)]
+    counts = np.full(len(keys), 5, dtype=np.int64)
+    bucket = np.array([np.arange(20_000), np.full(20_000, 20_000), np.full(20_000, 20_000)])
+    expected = qs.fitted(counts, bucket, 1000, np.full(20_000, 0.05), np.zeros(20_000, dtype=int))
+    assert abs(expected.sum() - 1000) < 1e-6 and np.allclose(expected, 0.05)
+    assert len(keys) == len(expected)
