@@ -29,6 +29,7 @@ CHAR_BITS, NEW_BITS, MARK_BITS, LEFT_BITS, TORN_BITS = 4.7, 16.0, 1.0, 6.0, 120.
 _NUMBER = re.compile(r"(?<![\d.,/])(?:\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+,\d+|\d+\.\d+)(?![\d]|[.,/]\d)|(?<![\d/])\d+ \d+/\d+(?!\d)|(?<![\d/])\d+/\d+(?![\d/])")
 # Two whole numbers with a comma between could also be two values: here the comma counts as one of a number only where one digit follows.
 _TIGHT = re.compile(r"\d+,\d{2}")
+_DIGIT = re.compile(r"\d")
 _PLACEHOLDER = re.compile(r"(?<!\w)(?:" + "|".join(re.escape(p) for p in PLACEHOLDERS if "/" in p) + r")(?!\w)", re.I)
 _LEFT = re.compile("[" + re.escape("".join([m for m in DELIMITERS if len(m) == 1] + [*QUOTES, *QUOTES.values()])) + "]")
 _TORN = re.compile(r"^([\"'“‘«])(?!.*[\"'”’»]$)|^(?![\"'“‘«]).*(?<![\dsS])[\"'”’»]$", re.S)
@@ -57,14 +58,19 @@ def inner(cell: str) -> str:
     return cell
 
 
-def _cuts(text: str, marks: tuple, tight: bool) -> list[tuple[int, int]]:
-    """Where the marks lie outside numbers and placeholders."""
-    if not marks:
+def _cuts(text: str, marks: tuple, tight: bool) -> list[tuple[int, int, str]]:
+    """Where the marks lie outside numbers and placeholders, with the mark."""
+    found = [(*m.span(), m[0].lower()) for m in _splitter(marks).finditer(text)] if marks else []
+    if not found:
         return []
-    kept = [m.span() for m in _NUMBER.finditer(text) if not (tight and _TIGHT.fullmatch(m[0]))]
-    kept += [m.span() for m in _PLACEHOLDER.finditer(text)]
+    kept = [m.span() for m in _NUMBER.finditer(text) if not (tight and _TIGHT.fullmatch(m[0]))] if _DIGIT.search(text) else []
+    kept += [m.span() for m in _PLACEHOLDER.finditer(text)] if "/" in text else []
+    return [c for c in found if not any(a <= c[0] < b for a, b in kept)] if len(kept) < 9 else _outside(found, kept)
+
+
+def _outside(found: list, kept: list) -> list:
     inside = {i for a, b in kept for i in range(a, b)}
-    return [m.span() for m in _splitter(marks).finditer(text) if m.start() not in inside]
+    return [c for c in found if c[0] not in inside]
 
 
 def split(text: str, marks: tuple, quotes: tuple, tight: bool = False) -> list[str]:
@@ -73,7 +79,10 @@ def split(text: str, marks: tuple, quotes: tuple, tight: bool = False) -> list[s
     A quote opens only at the start of a piece and closes only at its end; one that doesn't close is plain text.
     ``tight`` reads a comma between a number and two or more digits as a mark. Empty pieces are left out.
     """
-    cuts = _cuts(text, marks, tight)
+    return _pieces(text, _cuts(text, marks, tight), marks, quotes)
+
+
+def _pieces(text: str, cuts: list[tuple[int, int, str]], marks: tuple, quotes: tuple) -> list[str]:
     pieces, at, k = [], 0, 0
     while at <= len(text):
         start = at
@@ -126,14 +135,17 @@ def readings(cell: str):
     if text.lower() in PLACEHOLDERS:
         yield ((), (), False), split(text, (), ())
         return
-    tight_too = _TIGHT.search(text)
-    marks = tuple(m for m in DELIMITERS if _cuts(text, (m,), m == "," and bool(tight_too)))
+    there = tuple(m for m in DELIMITERS if m in text or m == "and" and "and" in text.lower())
+    tight_too = "," in there and bool(_TIGHT.search(text))
+    cuts = {tight: _cuts(text, there, tight) for tight in ((False, True) if tight_too else (False,))}
+    marks = tuple(m for m in there if any(c[2] == m for c in cuts[tight_too]))
     quotes = tuple(q for q in QUOTES if q in text)
     seen = set()
     for some in subsets(marks):
         for with_quotes in subsets(quotes):
             for tight in (False, True) if "," in some and tight_too else (False,):
-                read = split(text, some, with_quotes, tight)
+                own = cuts[tight] if len(some) == len(marks) else [c for c in cuts[tight] if c[2] in some]
+                read = _pieces(text, own, some, with_quotes)
                 # a reading is known by its digest: readings of a long cell would fill the memory
                 digest = blake2b("\x00".join(read).encode("utf-8", "surrogatepass"), digest_size=16).digest()
                 if digest not in seen:
