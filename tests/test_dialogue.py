@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import messages
 from tidemark.operators import catalog as cat
-from tidemark.operators import ledger, parsing, respond, simulate
+from tidemark.operators import index, ledger, parsing, respond, simulate
 
 PRODUCT = "parent_asin string, title string, features array<string>, description array<string>, price double, categories array<string>, details map<string,string>, average_rating double, rating_number bigint, store string"
 ROWS = [
@@ -102,7 +102,7 @@ def test_repeated_turn_changes_nothing():
 
 
 def test_dialogues(spark, products):
-    got = respond.respond(turns(spark, ["I'm looking for running shoes. A key requirement is: under $80."], ["I need a red cotton dress", "Actually, ignore red cotton dresses. What I need is blue mesh running shoes."], ["I'm still exploring shoes.", "cotton"]), products).collect()
+    got = respond.respond(turns(spark, ["I'm looking for running shoes. A key requirement is: under $80."], ["I need a red cotton dress", "Actually, ignore red cotton dresses. What I need is blue mesh running shoes."], ["I'm still exploring shoes.", "cotton"]), index.of_products(products)).collect()
     first = {(r.session_id, r.turn): r for r in got if r.rank == 1}
     assert first["s0", 1].parent_asin == "SHOE1" and not first["s0", 1].relaxed
     assert first["s1", 1].parent_asin == "DRESS1" and first["s1", 2].parent_asin == "SHOE1"
@@ -117,5 +117,18 @@ def test_dialogues(spark, products):
 
 def test_simulation_finds_every_target(spark, products):
     labels = spark.createDataFrame([(f"s{i}", r[0]) for i, r in enumerate(ROWS)], "session_id string, target string")
-    got = simulate.run(labels, products, rounds=2, k=2).collect()
+    got = simulate.run(labels, index.of_products(products), rounds=2, k=2).collect()
     assert all(r.hit and r.first_hit_turn in (1, 2) for r in got) and len(got) == 4
+
+
+def test_free_answers_fill_the_question_before(spark, words):
+    rows = [("s", 1, "red", '{"ask_attribute": "use_case"}', T), ("s", 2, "for that, what matters is: long hikes", '{"ask_attribute": "style"}', T), ("s", 3, "blue", '{"ask_attribute": "material"}', T), ("s", 4, "something soft", None, T), ("s", 5, "something odd", None, T)]
+    df = spark.createDataFrame(rows, "session_id string, turn int, user_message string, response_json string, updated_at timestamp")
+    got = {r.turn: r for r in ledger.fold(ledger.parsed_turns(df, words)).collect()}
+    assert "use_case eq long hikes" in got[2].active and "long hikes" not in got[2].constraints
+    # a value of the vocabulary answers nothing else; materials aren't answered in free words; nothing was asked before 5
+    assert "style" not in got[3].active and "color eq blue" in got[3].active
+    assert "soft" not in got[4].active and "odd" not in got[5].active and "long hikes" in got[5].active
+    asked = [(1, "just do it", "style"), (2, "sneakers", "category"), (3, "sneakers", "style"), (4, "under $50", "size"), (5, "I don't have a preference", "style"), (6, None, "style"), (7, "wide ones", "size")]
+    free = {r.message_id: r.value for r in parsing.pending(spark.createDataFrame(asked, "message_id bigint, message string, expected string"), words).collect()}
+    assert free == {3: "sneakers", 7: "wide ones"}

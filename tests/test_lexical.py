@@ -1,7 +1,7 @@
 import random
 from datetime import datetime
 
-from tidemark.operators import respond, retrieval
+from tidemark.operators import index, respond, retrieval
 
 PRODUCT = "parent_asin string, title string, features array<string>, description array<string>, price double, categories array<string>, details map<string,string>, average_rating double, rating_number bigint, store string"
 
@@ -9,7 +9,7 @@ PRODUCT = "parent_asin string, title string, features array<string>, description
 def test_common_words_search(spark):
     rows = [(f"P{i:04d}", "Plain Zorblat", [], [], 10.0, ["Things"], {}, 4.0, 10, "Shop") for i in range(1100)]
     turns = spark.createDataFrame([("s", 1, "zorblat", datetime(2024, 1, 1))], "session_id string, turn int, user_message string, updated_at timestamp")
-    got = respond.respond(turns, spark.createDataFrame(rows, PRODUCT).repartition(4)).collect()
+    got = respond.respond(turns, index.of_products(spark.createDataFrame(rows, PRODUCT).repartition(4))).collect()
     assert sorted((r.rank, r.parent_asin) for r in got) == [(i + 1, f"P{i:04d}") for i in range(10)]
 
 
@@ -24,8 +24,9 @@ def test_mask_top_against_brute_force(spark):
     for q, ts in asked.items():
         scores = {p: s for p in quality if (s := sum(fields.get((p, t), 0.0) for t in ts))}
         wanted[q] = [(p, scores[p]) for p in sorted(scores, key=lambda p: (-scores[p], -quality[p], p))[:30]]
-    for part in (1000, 500_000):
+    prepared = retrieval.mask_columns(terms, fields_of, quality_of)
+    for part, block in (1000, 7), (100_000, 50_000):
         got = {q: [] for q in asked}
-        for r in retrieval.mask_top(terms, retrieval.mask_columns(terms, fields_of, quality_of, part), 30).orderBy("query_id", "rank").collect():
+        for r in retrieval.mask_top(terms, prepared, 30, part, block).orderBy("query_id", "rank").collect():
             got[r.query_id].append((r.parent_asin, r.score))
         assert got == {q: w for q, w in wanted.items()}

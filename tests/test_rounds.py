@@ -1,5 +1,6 @@
 from datetime import datetime
 
+from tidemark.operators import index
 from tidemark.plans import dialogue_queries
 
 PRODUCT = "parent_asin string, title string, features array<string>, description array<string>, price double, categories array<string>, details map<string,string>, average_rating double, rating_number bigint, store string"
@@ -9,6 +10,6 @@ def test_sessions_have_ten_rounds(spark, monkeypatch):
     rows = [(f"P{i:03d}", "Zorblat", [], [], None, [], {}, 4.0, 10, "Shop") for i in range(110)]
     feedback = spark.createDataFrame([("late", 1, "P093", "x", None, datetime(2024, 1, 1)), ("never", 1, "P105", "x", None, datetime(2024, 1, 1))], "session_id string, turn int, parent_asin string, reason string, note string, updated_at timestamp")
     monkeypatch.setattr(dialogue_queries, "table", lambda *_: feedback)
-    monkeypatch.setattr(dialogue_queries, "products", lambda *_: spark.createDataFrame(rows, PRODUCT))
+    monkeypatch.setattr(dialogue_queries, "index", lambda *_: index.of_products(spark.createDataFrame(rows, PRODUCT)))
     got = {r.session_id: (r.hit, r.first_hit_turn, r.best_rank) for r in dialogue_queries.simulate_sessions(spark, "").collect()}
     assert got == {"late": (True, 10, 4), "never": (False, None, None)}

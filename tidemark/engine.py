@@ -57,6 +57,14 @@ def spread(df: DataFrame, *columns: str) -> DataFrame:
     return df.repartition(parts, *columns)
 
 
+def fixed(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """A small table of checked size as rows that the plan itself holds: its lineage is never run again."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows in a table that should be fixed")
+    return df.sparkSession.createDataFrame(rows, df.schema)
+
+
 def broadcast_if_small(df: DataFrame, most: int = 200_000) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``most`` rows, else as it is, to be joined by a shuffle."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -86,3 +86,29 @@ def constraints(rows: DataFrame, words: DataFrame) -> DataFrame:
     category = plain.select("message_id", messages.named_category(F.col("message")).alias("value")).filter("value IS NOT NULL").join(stated.filter("attribute = 'category'").select("message_id"), "message_id", "left_anti")
     category = category.select("message_id", F.lit(2 * LATE).alias("place"), F.lit("category").alias("attribute"), F.lit("eq").alias("operator"), "value", none.alias("upper_value"), F.lit("").alias("alternatives"))
     return stated.unionByName(money).unionByName(category).distinct()
+
+
+# Attributes whose question may be answered in free words, and words that answer nothing.
+FREE = ("brand", "category", "feature", "other", "size", "style", "use_case")
+FILLERS = ("a", "an", "and", "any", "are", "can", "do", "for", "have", "i", "id", "im", "is", "it", "just", "like", "me", "my", "need", "of", "one", "please", "prefer", "the", "that", "to", "want", "what", "would")
+LEAD_IN = r"^for that,?\s*(?:what matters is:?)?\s*"
+
+
+def pending(rows: DataFrame, words: DataFrame) -> DataFrame:
+    """(message_id, attribute, value): free words that answer the question put before. ``rows`` (message_id, message,
+    expected), expected being the attribute asked about.
+
+    A message answers in free words if some of its words are neither values of the vocabulary nor part of a budget nor
+    (unless a style was asked for) a known category, nor fillers; messages that only steer answer nothing."""
+    flags = messages.flags(F.col("message"))
+    m = text.normalize_value(F.col("message"))
+    open_ = rows.filter(F.col("expected").isin(*FREE) & ~flags["no_preference"] & ~flags["is_continuation"])
+    tokens = F.filter(F.split(F.lower(F.regexp_replace(m, r"['’]s\b", " ")), "[^a-z0-9]+"), lambda t: t != "")
+    covered = mentions(open_.select("message_id", "message"), words).groupBy("message_id").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    money = F.array_join(F.concat(*[F.regexp_extract_all(m, F.lit(f"(?i){p}"), F.lit(0)) for p in (messages.BETWEEN, messages.DIRECTION, messages.PLAIN)]), " ")
+    known = F.when(F.col("expected") == "style", F.array().cast("array<string>")).otherwise(text.literals(list(messages.KNOWN_CATEGORIES)))
+    joined = open_.join(covered, "message_id", "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")))
+    left = F.filter(tokens, lambda t, i: ~F.exists("spans", lambda s: (s["start"] <= i) & (i < s["end"])))
+    left = F.array_except(F.array_except(F.array_except(left, text.tokens(money)), known), text.literals(list(FILLERS)))
+    value = F.regexp_replace(F.regexp_replace(m, LEAD_IN, ""), r"^[ .;:]+|[ .;:]+$", "")
+    return joined.filter(F.size(left) > 0).select("message_id", F.col("expected").alias("attribute"), value.alias("value")).filter("value <> ''")

@@ -76,3 +76,32 @@ def route(hint, hard_count, has_budget, has_size, has_material, terms, previous)
     """The route of a turn: the hint if any, buying if the signals reach 1.25, else the one before."""
     signals = hard_count + has_budget.cast("int") + has_size.cast("int") + has_material.cast("int") + F.least(terms, F.lit(8)) / 8
     return F.coalesce(hint, F.when(signals >= 1.25, "buying").otherwise(previous))
+
+
+#: Least confidence of a constraint that the router takes as hard. Fixed value.
+SURE = 0.9
+
+
+def hard(is_hard, confidence) -> Column:
+    """Whether the router takes a constraint as hard: stated as such, and sure. The ranker asks for the first only."""
+    return F.coalesce(is_hard & (confidence >= SURE), F.lit(False))
+
+
+def from_filters(plans: DataFrame, filters: str = "filters", constraints: str = "constraints") -> DataFrame:
+    """``plans`` with ``effective``: a plan's own constraints if it has any, else what its old filters (MAP of attribute to
+    values) say: the largest budget is a ceiling, one value must be met, of several any. Empty lists say nothing.
+
+    ``constraints`` is ARRAY<STRUCT<attribute, operator, value, alternatives>>; attributes come in order of their names."""
+    entries = F.array_sort(F.filter(F.map_entries(filters), lambda e: F.size(e["value"]) > 0))
+    none = F.array().cast("array<string>")
+    largest = lambda v: F.array_max(F.transform(v, lambda x: F.struct(F.coalesce(x.try_cast("double"), F.lit(float("-inf"))).alias("n"), x.alias("x"))))["x"]
+
+    def one(e):
+        budget, several = e["key"] == "budget", F.size(e["value"]) > 1
+        operator = F.when(budget, "lte").when(several, "in").otherwise("eq")
+        value = F.when(budget, largest(e["value"])).otherwise(e["value"][0])
+        return F.struct(e["key"].alias("attribute"), operator.alias("operator"), value.alias("value"), F.when(~budget & several, e["value"]).otherwise(none).alias("alternatives"))
+
+    rewritten = F.transform(entries, one)
+    own = F.col(constraints) if constraints in plans.columns else F.lit(None).cast("array<struct<attribute:string,operator:string,value:string,alternatives:array<string>>>")
+    return plans.withColumn("effective", F.when(F.size(own) > 0, own).otherwise(F.coalesce(rewritten, F.array().cast("array<struct<attribute:string,operator:string,value:string,alternatives:array<string>>>"))))

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.engine import broadcast_if_small, cut, number_rows, spread
+from tidemark.engine import broadcast_if_small, cut, number_rows
 from tidemark.functions import lookups, text
 from tidemark.operators.catalog import with_ranks
 
+#: Most vectors that are searched for at once.
+MAX_QUERY_VECTORS = 100_000
+
 
 def query_terms(queries: DataFrame, limit: int = lookups.MAX_QUERY_TERMS) -> DataFrame:
     """(query_id, term): the first distinct terms of each query's text."""
@@ -35,11 +37,17 @@ def bm25(queries: DataFrame, terms: DataFrame, lengths: DataFrame, key: str) ->
     # only the frequencies of asked terms are needed, at most as many as there are query terms
     df = broadcast_if_small(df.join(wanted, "term", "left_semi"))
     hit = terms.join(wanted, "term").join(df, "term").join(lengths, key).crossJoin(F.broadcast(stats))  # one row
+    return bm25_scores(hit, key)
+
+
+def bm25_scores(hit: DataFrame, key: str, *more) -> DataFrame:
+    """(query_id, key, score, and the aggregates ``more``) of rows (query_id, key, tf, df, length, _n, _avg): a query's
+    terms that a document has, the number of documents that have the term, of all documents, and their mean length."""
     idf = F.log((F.col("_n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf > 0, idf).otherwise(1e-6)
     k1, b = lookups.BM25_K1, lookups.BM25_B
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("_avg")))
-    return hit.groupBy("query_id", key).agg(F.sum(part).alias("score"))
+    return hit.groupBy("query_id", key).agg(F.sum(part).alias("score"), *more)
 
 
 def mask_scores(queries: DataFrame, term_fields: DataFrame, terms: DataFrame | None = None) -> DataFrame:
@@ -51,44 +59,46 @@ def mask_scores(queries: DataFrame, term_fields: DataFrame, terms: DataFrame | N
     return term_fields.select("parent_asin", "term", "weight").join(wanted, "term").groupBy("query_id", "parent_asin").agg(F.sum("weight").alias("score"))
 
 
-def mask_columns(terms: DataFrame, term_fields: DataFrame, quality: DataFrame, part: int = 100_000) -> tuple[DataFrame, DataFrame, list]:
+def mask_columns(terms: DataFrame, term_fields: DataFrame, quality: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """What mask_top needs of the products: (parent_asin, place), numbered from the best quality on, by id where equal;
-    (term, word), the asked terms numbered; and, broadcast for each ``part`` products, the first place, the words, where
-    each one's products begin, these products and their weights."""
+    (term, word), the asked terms numbered; (place, word, weight), the fields' weights of the asked terms."""
     order = quality.select("parent_asin", (-F.round("quality", 9)).alias("_q"))
     places = cut(number_rows(order, ["_q", "parent_asin"], "place").select("parent_asin", "place"))
     words = cut(number_rows(terms.select("term").distinct(), ["term"], "word").select("term", F.col("word").cast("int").alias("word")))
-    columns = term_fields.select("parent_asin", "term", "weight").join(words, "term").join(places, "parent_asin")
-    columns = cut(columns.select("place", "word", F.col("weight").cast("float").alias("weight")))
-    held = []
-    for start in range(0, places.count(), part):
-        rows = columns.filter((F.col("place") >= start) & (F.col("place") < start + part)).select((F.col("place") - start).cast("int").alias("place"), "word", "weight").toArrow()
-        place, word, weight = (rows[c].to_numpy() for c in ("place", "word", "weight"))
-        del rows
-        by_word = np.lexsort((place, word))
-        found, first = np.unique(word[by_word], return_index=True)
-        held.append(columns.sparkSession.sparkContext.broadcast((start, found, np.append(first, len(word)), place[by_word], weight[by_word])))
-    return places, words, held
+    columns = term_fields.select("parent_asin", "term", "weight").join(broadcast_if_small(words), "term").join(places, "parent_asin")
+    return places, words, cut(columns.select("place", "word", F.col("weight").cast("float").alias("weight")))
 
 
-def mask_top(terms: DataFrame, prepared: tuple[DataFrame, DataFrame, list], k: int) -> DataFrame:
+def mask_top(terms: DataFrame, prepared: tuple[DataFrame, DataFrame, DataFrame], k: int, part: int = 100_000, block: int = 50_000) -> DataFrame:
     """(query_id, parent_asin, score, rank): each query's first ``k`` products by mask_scores, then quality, then id.
 
     Every term of ``terms`` (query_id, term) counts, however many products have it; ``prepared`` comes of mask_columns
-    for these terms or more. Each query adds up the products of its terms, and only k rows a query and part are
-    shuffled. Sums have 32 bits: the field weights are halves, so they are exact."""
-    places, words, held = prepared
-    asked = cut(spread(terms.distinct().join(words, "term").groupBy("query_id").agg(F.collect_list("word").alias("words")), "query_id"))
-    near = [_mask_part(asked, columns, k) for columns in held] or [asked.selectExpr("query_id", "0L AS place", "0D AS score").limit(0)]
-    best = top_k(reduce(DataFrame.unionByName, near), ["query_id"], k, F.col("score").desc(), F.col("place"))
+    for these terms or more. Products are cut into parts of up to ``part``, queries into blocks of up to ``block``; each
+    part meets each block in one task, in which each query adds up the columns of its terms, and only k rows a query
+    and part go on. Nothing is broadcast or gathered, so both sides may grow. Sums have 32 bits: the field weights are
+    halves, so they are exact."""
+    places, words, columns = prepared
+    asked = cut(terms.distinct().join(broadcast_if_small(words), "term").groupBy("query_id").agg(F.collect_list("word").alias("words")))
+    cores = 2 * terms.sparkSession.sparkContext.defaultParallelism
+    size = min(part, max(1000, places.count() // cores + 1))
+    parts = F.explode(F.sequence(F.lit(0), F.lit((max(places.count(), 1) - 1) // size))).alias("p")
+    blocks = (max(asked.count(), 1) - 1) // block + 1
+    held = columns.select(F.floor(F.col("place") / size).cast("int").alias("p"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), "place", "word", "weight")
+    queries = asked.select(parts, F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("b"), "query_id", "words")
+    near = held.groupBy("p", "b").cogroup(queries.groupBy("p", "b")).applyInPandas(_mask_part(size, k), "query_id bigint, place bigint, score double")
+    best = top_k(near, ["query_id"], k, F.col("score").desc(), F.col("place"))
     return best.join(places, "place").select("query_id", "parent_asin", "score", "rank")
 
 
-def _mask_part(asked: DataFrame, held, k: int) -> DataFrame:
-    def search(batches):
-        start, word, bounds, place, weight = held.value
-        at, size, dense = {int(w): i for i, w in enumerate(word)}, int(place.max()) + 1 if len(place) else 0, {}
-        head = max(4096, k)
+def _mask_part(size: int, k: int):
+    head = max(4096, k)
+
+    def search(key, columns: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        place, word, weight = (columns[c].to_numpy() for c in ("place", "word", "weight"))
+        by_word = np.lexsort((place, word))
+        found, first = np.unique(word[by_word], return_index=True)
+        at, bounds = {int(w): i for i, w in enumerate(found)}, np.append(first, len(word))
+        place, weight, dense = place[by_word] - key[0] * size, weight[by_word], {}
 
         def add(sums, i):
             p, w = place[bounds[i] : bounds[i + 1]], weight[bounds[i] : bounds[i + 1]]
@@ -102,23 +112,24 @@ def _mask_part(asked: DataFrame, held, k: int) -> DataFrame:
                 dense[i][p] = w
             np.add(sums, dense[i], out=sums)
 
-        for batch in batches:
-            out = []
-            for query, words in zip(batch["query_id"], batch["words"], strict=True):
-                sums = np.zeros(size, np.float32)
-                for i in [at[w] for w in words if w in at]:
-                    add(sums, i)
-                least, here = np.float32(0), sums[:head]
-                if len(here) > k:
-                    least = max(np.partition(here, len(here) - k)[len(here) - k], least)
-                # k products of the head have the least score already, so behind it only higher ones can enter
-                near = np.concatenate([np.flatnonzero((here >= least) & (here > 0)), len(here) + np.flatnonzero(sums[head:] > least)])
-                near = near[np.argsort(-sums[near], kind="stable")[:k]]
-                out.append((np.full(len(near), query), near + start, sums[near].astype(np.float64)))
-            if out:
-                yield pd.DataFrame({c: np.concatenate(x) for c, x in zip(["query_id", "place", "score"], zip(*out, strict=True), strict=True)})
-
-    return asked.mapInPandas(search, "query_id bigint, place bigint, score double")
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for query, words in zip(queries["query_id"], queries["words"], strict=True):
+            known = [at[w] for w in words if w in at]
+            if not known:
+                continue
+            sums = np.zeros(size, np.float32)
+            for i in known:
+                add(sums, i)
+            least, here = np.float32(0), sums[:head]
+            if len(here) > k:
+                least = max(np.partition(here, len(here) - k)[len(here) - k], least)
+            # k products of the head have the least score already, so behind it only higher ones can enter
+            near = np.concatenate([np.flatnonzero((here >= least) & (here > 0)), len(here) + np.flatnonzero(sums[head:] > least)])
+            near = near[np.argsort(-sums[near], kind="stable")[:k]]
+            out.append((np.full(len(near), query), near + key[0] * size, sums[near].astype(np.float64)))
+        return pd.DataFrame({c: np.concatenate(x) for c, x in zip(["query_id", "place", "score"], zip(*out, strict=True), strict=True)})
+
+    return search
 
 
 def top_k(scored: DataFrame, by: list, k: int, *order) -> DataFrame:
@@ -135,52 +146,71 @@ def all_terms(requests: DataFrame, postings: DataFrame) -> DataFrame:
 
 
 def attribute_candidates(plans: DataFrame, postings: DataFrame) -> DataFrame:
-    """(query_id, parent_asin) meeting every constraint of a plan by postings.
+    """(query_id, parent_asin, and the postings' quality and price if they have them) meeting every constraint of a plan
+    by postings.
 
     ``plans`` (query_id, constraint_id, operator, attribute, value), one row for each value of a constraint. Values of
     one constraint are alternatives; not_in takes the products that have the attribute without the values."""
-    wanted = plans.join(postings.select("parent_asin", "attribute", "value"), ["attribute", "value"]).select("query_id", "constraint_id", "operator", "parent_asin").distinct()
+    more = [c for c in ("quality", "price") if c in postings.columns]
+    plans = broadcast_if_small(plans)
+    wanted = postings.select("parent_asin", "attribute", "value", *more).join(plans, ["attribute", "value"]).select("query_id", "constraint_id", "operator", "parent_asin", *more).distinct()
     matched = wanted.filter("operator <> 'not_in'").drop("operator")
-    present = plans.filter("operator = 'not_in'").select("query_id", "constraint_id", "attribute").distinct().join(postings.select("parent_asin", "attribute").distinct(), "attribute").select("query_id", "constraint_id", "parent_asin")
+    present = plans.filter("operator = 'not_in'").select("query_id", "constraint_id", "attribute").distinct()
+    present = postings.select("parent_asin", "attribute", *more).distinct().join(broadcast_if_small(present), "attribute").select("query_id", "constraint_id", "parent_asin", *more)
     rest = present.join(wanted.filter("operator = 'not_in'"), ["query_id", "constraint_id", "parent_asin"], "left_anti")
     need = plans.groupBy("query_id").agg(F.countDistinct("constraint_id").alias("need"))
-    have = matched.unionByName(rest).groupBy("query_id", "parent_asin").agg(F.count("*").alias("have"))
-    return have.join(need, "query_id").filter("have = need").select("query_id", "parent_asin")
+    have = matched.unionByName(rest).groupBy("query_id", "parent_asin").agg(F.count("*").alias("have"), *[F.max(c).alias(c) for c in more])
+    return have.join(broadcast_if_small(need), "query_id").filter("have = need").select("query_id", "parent_asin", *more)
 
 
 def profile_hits(preferences: DataFrame, postings: DataFrame) -> DataFrame:
-    """(query_id, parent_asin, hits): how many of a query's soft preferences (attribute, value) a product has."""
-    return preferences.distinct().join(postings.select("parent_asin", "attribute", "value").distinct(), ["attribute", "value"]).groupBy("query_id", "parent_asin").agg(F.count("*").alias("hits"))
+    """(query_id, parent_asin, hits, and quality if the postings have it): how many of a query's soft preferences
+    (attribute, value) a product has. Preferences of a checked size are broadcast, so that no value of many products
+    meets in one task."""
+    more = [c for c in ("quality",) if c in postings.columns]
+    rows = postings.select("parent_asin", "attribute", "value", *more).distinct()
+    return rows.join(broadcast_if_small(preferences.distinct()), ["attribute", "value"]).groupBy("query_id", "parent_asin").agg(F.count("*").alias("hits"), *[F.max(c).alias(c) for c in more])
 
 
 def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", column: str = "embedding", digits: int = 9) -> DataFrame:
     """(query_id, key, score): the k vectors of largest inner product with each query, by id where equal in so many
     digits.
 
-    Queries (query_id, vector) are a set of checked size, broadcast as one matrix; all vectors are read once in
-    blocks, each block keeps k rows a query, and only those are shuffled."""
-    asked = queries.orderBy("query_id").limit(100_001).collect()
-    if len(asked) > 100_000:
-        raise ValueError("search at most 100000 vectors at once")
+    Queries (query_id, vector) are a set of checked size, broadcast as one matrix; all vectors are read once. Blocks of
+    vectors meet blocks of queries, each keeps what may be among the first k, and only k rows a query and task are
+    shuffled. Null vectors are left out."""
+    asked = queries.orderBy("query_id").limit(MAX_QUERY_VECTORS + 1).collect()
+    if len(asked) > MAX_QUERY_VECTORS:
+        raise ValueError(f"search at most {MAX_QUERY_VECTORS} vectors at once")
     ids = [r.query_id for r in asked]
     matrix = vectors.sparkSession.sparkContext.broadcast(np.array([r.vector for r in asked], dtype=np.float64))
+    kind = vectors.schema[key].dataType.simpleString()
 
     def scan(batches):
-        best: dict[int, list] = {}
+        best: dict[int, list] = {q: [] for q in range(len(ids))}
+        least = np.full(len(ids), -np.inf)
         for batch in batches:
             if not len(batch) or not len(ids):
                 continue
-            scores = np.stack(batch[column].to_numpy()).astype(np.float64) @ matrix.value.T
-            names = batch[key].to_numpy()
-            order = np.lexsort((np.broadcast_to(names[:, None], scores.shape), -np.round(scores, digits)), axis=0)[:k]
-            for q in range(len(ids)):
-                rows = [(-round(float(scores[i, q]), digits), int(names[i]), float(scores[i, q])) for i in order[:, q]]
-                best[q] = sorted(best.get(q, []) + rows)[:k]
-        out = [(ids[q], name, score) for q, rows in best.items() for _, name, score in rows]
+            batch = batch.sort_values(key, kind="stable")
+            names, block = batch[key].tolist(), np.stack(batch[column].to_numpy()).astype(np.float64)
+            for start in range(0, len(ids), 256):
+                scores = np.round(block @ matrix.value[start : start + 256].T, digits)
+                n = len(names)
+                floor = least[start : start + scores.shape[1]]
+                if n > k:
+                    floor = np.maximum(floor, np.partition(scores, n - k, axis=0)[n - k])
+                for c, q in enumerate(range(start, start + scores.shape[1])):
+                    near = np.flatnonzero(scores[:, c] >= floor[c])
+                    near = near[np.argsort(-scores[near, c], kind="stable")[:k]]
+                    best[q] = sorted(best[q] + [(-float(scores[i, c]), names[i]) for i in near])[:k]
+                    if len(best[q]) == k:
+                        least[q] = -best[q][-1][0]
+        out = [(ids[q], name, -score) for q, rows in best.items() for score, name in rows]
         yield pd.DataFrame(out, columns=["query_id", key, "score"])
 
-    near = vectors.select(key, column).filter(F.col(column).isNotNull()).mapInPandas(scan, f"query_id bigint, {key} bigint, score double")
-    return top_k(near, ["query_id"], k, F.round("score", digits).desc(), F.col(key))
+    near = vectors.select(key, column).filter(F.col(column).isNotNull()).mapInPandas(scan, f"query_id bigint, {key} {kind}, score double")
+    return top_k(near, ["query_id"], k, F.col("score").desc(), F.col(key))
 
 
 def fuse(ranked: DataFrame, weights: DataFrame, k: int = lookups.RRF_K) -> DataFrame:
@@ -232,9 +262,22 @@ def normalized(column: str, by: list):
     return F.when(most > 0, value / most).otherwise(0.0)
 
 
+def mmr_gate(candidates: DataFrame, most_gap: float = 0.025, alike: float = 0.6, pairs: int = 3) -> DataFrame:
+    """(query_id, diverse): whether a list is worth making diverse: it goes on behind the tenth place at almost the same
+    score, and enough pairs of the first ten are alike. ``candidates`` (query_id, parent_asin, score, rank, terms)."""
+    similar = jaccard_pairs(candidates).filter(F.col("similarity") >= alike).groupBy("query_id").agg(F.count("*").alias("pairs"))
+    at = lambda r: F.max(F.when(F.col("rank") == r, F.col("score")))
+    last, span = lookups.RESULT_LIMIT, F.max("score") - F.min("score")
+    gaps = candidates.groupBy("query_id").agg(F.count("*").alias("n"), F.abs(at(last) - at(last + 1)).alias("gap"), span.alias("span"))
+    small = F.round(F.when(F.col("span") > 0, F.col("gap") / F.col("span")).otherwise(0.0), 9) <= most_gap
+    diverse = (F.col("n") > last) & small & (F.coalesce("pairs", F.lit(0)) >= pairs)
+    return gaps.join(similar, "query_id", "left").select("query_id", diverse.alias("diverse"))
+
+
 def mmr(candidates: DataFrame, k: int = lookups.RESULT_LIMIT, balance: float = lookups.MMR_LAMBDA) -> DataFrame:
     """(query_id, parent_asin, mmr_rank): greedy choice of k products by balance · score − (1 − balance) · the largest
-    Jaccard similarity to what is chosen; scores are scaled to 0..1 inside the query; ties by id.
+    Jaccard similarity to what is chosen; scores are scaled to 0..1 inside the query; ties go to the id's first letter,
+    then to the better rank.
 
     ``candidates`` (query_id, parent_asin, score, rank, terms) are lists of bounded length (top-k output)."""
     least, most = F.min("score").over(Window.partitionBy("query_id")), F.max("score").over(Window.partitionBy("query_id"))
@@ -245,14 +288,14 @@ def mmr(candidates: DataFrame, k: int = lookups.RESULT_LIMIT, balance: float = l
         for batch in batches:
             out = []
             for query, items in zip(batch["query_id"], batch["items"], strict=True):
-                left = [(i["parent_asin"], i["score"], frozenset(i["terms"])) for i in items]
+                left = [(i["parent_asin"], i["score"], frozenset(i["terms"]), i["rank"]) for i in items]
                 chosen: list = []
                 while left and len(chosen) < k:
                     def gain(c):
                         near = max((len(c[2] & d[2]) / len(c[2] | d[2]) if c[2] | d[2] else 0.0 for d in chosen), default=0.0)
                         return round(balance * c[1] - (1 - balance) * near, 9)
 
-                    best = min(left, key=lambda c: (-gain(c), c[0]))
+                    best = min(left, key=lambda c: (-gain(c), c[0][:1], c[3]))
                     left.remove(best)
                     chosen.append(best)
                 out += [(query, c[0], i) for i, c in enumerate(chosen, 1)]

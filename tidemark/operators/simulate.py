@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.engine import cut
 from tidemark.functions import lookups, text
-from tidemark.operators import catalog as cat
 from tidemark.operators import retrieval
+from tidemark.operators.index import Index
 
 
 def intent_cards(products: DataFrame) -> DataFrame:
@@ -28,18 +28,19 @@ def intent_cards(products: DataFrame) -> DataFrame:
     return products.select("parent_asin", F.when(F.size(said) > 0, said).otherwise(F.array(F.coalesce(clean(F.col("title")), F.lit("product")))).alias("card"))
 
 
-def run(labels: DataFrame, products: DataFrame, rounds: int = 10, k: int = lookups.RESULT_LIMIT) -> DataFrame:
+def run(labels: DataFrame, index: Index, rounds: int = 10, k: int = lookups.RESULT_LIMIT) -> DataFrame:
     """(session_id, hit, first_hit_turn, best_rank, reciprocal_rank) of sessions (session_id, target).
 
     Round n: each open session has said the first n points of its target's card; the k best products by field scores
     that weren't shown to it before are shown; a session ends when its target is among them. Every round is one job
     over all open sessions, cut from its lineage."""
-    cards = intent_cards(products)
+    cards = intent_cards(index.products)
     ids = labels.withColumn("query_id", F.xxhash64("session_id"))
     open_ = cut(ids.join(cards.withColumnRenamed("parent_asin", "target"), "target"))
     said = lambda turn: retrieval.query_terms(open_.select("query_id", F.array_join(F.slice("card", 1, turn), " ").alias("text")))
     # a round's terms are the first of the last round's
-    prepared = retrieval.mask_columns(said(rounds), cat.term_fields(products), cat.with_quality(products))
+    terms = cut(said(rounds))
+    prepared = retrieval.mask_columns(terms, index.of(terms), index.products)
     shown, done = None, None
     for turn in range(1, rounds + 1):
         # k more than were shown, so that k are left without those

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-NAMES = ("general", "catalog_queries", "search_queries", "analytics_queries", "dialogue_queries", "stream_queries", "more_queries")
+NAMES = ("general", "catalog_queries", "search_queries", "analytics_queries", "dialogue_queries", "store_queries", "report_queries", "stream_queries", "more_queries")
 
 
 def modules() -> list:

@@ -9,7 +9,7 @@ from tidemark.functions import text
 from tidemark.operators import catalog as cat
 from tidemark.operators import metrics, policy, retrieval, sampling
 from tidemark.plans import sql
-from tidemark.plans.catalog_queries import products
+from tidemark.plans.catalog_queries import index, products
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -25,9 +25,9 @@ def query(oracle: str | None = None):
     return register
 
 
-# Outcomes: a vector with an id divisible by a hundred is a session, its target any other one of its label; the turns
-# show the others by similarity, ten a turn. A second run knows similarities to one digit only and shows 20.
-def _near(name: str = "", digits: int = 9, places: int = 30) -> str:
+# Outcomes: a vector with an id divisible by a hundred is a session, its target any other one of its label; ten turns
+# show the others by similarity, ten a turn. A second run knows similarities to one digit only.
+def _near(name: str = "", digits: int = 9, places: int = 100) -> str:
     return _NEAR.replace("{n}", name).replace("{d}", str(digits)).replace("{p}", str(places))
 
 
@@ -37,7 +37,7 @@ outcomes{n} AS (SELECT q AS session_id, any_value(label % 4) AS scenario, min(CA
 o{n} AS (SELECT session_id, scenario, first IS NOT NULL AS hit, (first - 1) // 10 + 1 AS first_hit_turn, (first - 1) % 10 + 1 AS best_rank, CASE WHEN first IS NULL THEN 0 ELSE 1.0::DOUBLE / ((first - 1) % 10 + 1) END AS reciprocal_rank FROM outcomes{n})"""
 
 
-def outcomes(spark, sf_dir, digits=9, places=30):
+def outcomes(spark, sf_dir, digits=9, places=100):
     rows = table(spark, sf_dir, "embeddings")
     asked = rows.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     near = retrieval.dense_top_k(rows, asked, places + 1, digits=digits).filter("query_id <> vec_id")
@@ -85,21 +85,21 @@ def failure_breakdown(spark, sf_dir):
     return metrics.failures(folded(spark, sf_dir), ["scenario", "fold"])
 
 
-_TWO = f"""WITH {_near()}, {_near('2', 1, 20)}, b AS (FROM o2)"""
+_TWO = f"""WITH {_near()}, {_near('2', 1)}, b AS (FROM o2)"""
 
 
 @query(f"""{_TWO} SELECT CASE WHEN b.session_id IS NULL OR o.session_id IS NULL THEN 'missing' WHEN NOT o.hit AND b.hit THEN 'recovered' WHEN o.hit AND NOT b.hit THEN 'regressed' WHEN NOT o.hit THEN 'same'
   WHEN b.first_hit_turn < o.first_hit_turn OR (b.first_hit_turn = o.first_hit_turn AND b.best_rank < o.best_rank) THEN 'improved' WHEN b.first_hit_turn > o.first_hit_turn OR b.best_rank > o.best_rank THEN 'worsened' ELSE 'same' END AS change, count(*) AS sessions
   FROM o FULL JOIN b USING (session_id) GROUP BY 1""")
 def paired_transitions(spark, sf_dir):
-    return metrics.transitions(outcomes(spark, sf_dir), outcomes(spark, sf_dir, 1, 20))
+    return metrics.transitions(outcomes(spark, sf_dir), outcomes(spark, sf_dir, 1))
 
 
 @query(f"""{_TWO}, m AS (SELECT scenario, {_METRICS} FROM o GROUP BY scenario), a AS (SELECT {_SCORED} FROM m), m2 AS (SELECT scenario, {_METRICS} FROM b GROUP BY scenario), c AS (SELECT {_SCORED} FROM m2)
 SELECT scenario, CAST(round((c.score - a.score) * 1000000) AS BIGINT) AS delta, coalesce(round((c.score - a.score) * 1000000) >= -15000, false) AS passed FROM a FULL JOIN c USING (scenario)""")
 def stage_gate(spark, sf_dir):
     score = lambda df: metrics.with_score(df.groupBy("scenario").agg(*metrics.summary()))
-    return metrics.gate(score(outcomes(spark, sf_dir)), score(outcomes(spark, sf_dir, 1, 20)), "scenario", 0.015)
+    return metrics.gate(score(outcomes(spark, sf_dir)), score(outcomes(spark, sf_dir, 1)), "scenario", 0.015)
 
 
 _TRACE = "SELECT json_extract_string(trace_json, '$.route') AS route, CAST(json_extract_string(trace_json, '$.elapsed_ms') AS DOUBLE) AS elapsed_ms FROM turns WHERE json_valid(trace_json)"
@@ -186,7 +186,7 @@ def candidate_probabilities(spark, sf_dir):
 
 @query(f"{_UTILITY} SELECT query_id, attribute, round(coverage, 6) AS coverage, round(gain, 6) AS gain, round(utility, 6) AS utility FROM utility")
 def question_utility(spark, sf_dir):
-    found = policy.utilities(candidates(spark, sf_dir), cat.postings(cat.attributes(products(spark, sf_dir))))
+    found = policy.utilities(candidates(spark, sf_dir), index(spark, sf_dir).postings)
     return found.select("query_id", "attribute", *[F.round(c, 6).alias(c) for c in ("coverage", "gain", "utility")])
 
 
@@ -195,7 +195,7 @@ _PLACE = " ".join(f"WHEN '{a}' THEN {i}" for i, a in enumerate(policy.PRIORS))
 
 @query(f"{_UTILITY} SELECT query_id, attribute, round(utility, 6) AS utility FROM utility WHERE utility > 0 AND attribute <> 'brand' QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(utility, 9) DESC, CASE attribute {_PLACE} ELSE 99 END, attribute) = 1")
 def question_choice(spark, sf_dir):
-    found = policy.utilities(candidates(spark, sf_dir), cat.postings(cat.attributes(products(spark, sf_dir))))
+    found = policy.utilities(candidates(spark, sf_dir), index(spark, sf_dir).postings)
     blocked = found.select("query_id", F.lit("brand").alias("attribute")).distinct()
     return policy.choose(found, blocked).withColumn("utility", F.round("utility", 6))
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.engine import table
+from tidemark.engine import number_rows, table
 from tidemark.functions import lookups, text
 from tidemark.operators import catalog as cat
+from tidemark.operators.index import Index, of_catalog
 from tidemark.plans import sql
 
 QUERIES: dict = {}
@@ -27,6 +28,11 @@ def products(spark, sf_dir):
     return cat.latest(table(spark, sf_dir, "product_catalog"))
 
 
+def index(spark, sf_dir) -> Index:
+    """The stored search index of the catalogue."""
+    return of_catalog(spark, f"{sf_dir}/product_catalog.parquet")
+
+
 @query(f"WITH {sql.CAT}, {sql.QUALITY} SELECT parent_asin, round(quality, 6) AS quality FROM quality ORDER BY round(quality, 9) DESC, parent_asin LIMIT 10")
 def popular_topk(spark, sf_dir):
     return cat.popular(products(spark, sf_dir), 10).select("parent_asin", F.round("quality", 6).alias("quality"))
@@ -102,10 +108,10 @@ def fn_quantize_int8(spark, sf_dir):
     return rows.select("vec_id", F.array_join(F.transform("q.values", lambda v: v.cast("string")), ",").alias("code"), F.round("q.scale", 9).alias("scale"))
 
 
-@query(f"WITH {sql.CAT} SELECT parent_asin, sha256(concat('seed', chr(0), parent_asin)) AS hash, row_number() OVER (ORDER BY sha256(concat('seed', chr(0), parent_asin))) AS place FROM cat QUALIFY place <= 200")
+@query(f"WITH {sql.CAT} SELECT parent_asin, sha256(concat('seed', chr(0), parent_asin)) AS hash, row_number() OVER (ORDER BY sha256(concat('seed', chr(0), parent_asin)), parent_asin) AS place FROM cat")
 def fn_stable_hash_order(spark, sf_dir):
-    hashed = products(spark, sf_dir).select("parent_asin", text.stable_hash("seed", F.col("parent_asin")).alias("hash")).orderBy("hash").limit(200)
-    return cat.with_ranks(hashed, [], ["hash"], "place").withColumn("place", F.col("place").cast("bigint"))
+    hashed = products(spark, sf_dir).select("parent_asin", text.stable_hash("seed", F.col("parent_asin")).alias("hash"))
+    return number_rows(hashed, ["hash", "parent_asin"], "_at").select("parent_asin", "hash", (F.col("_at") + 1).alias("place"))
 
 
 @query("SELECT DISTINCT 'session_' || substr(sha256(lower(trim(session_id))), 1, 20) AS opaque_id FROM turns WHERE trim(session_id) <> ''")
@@ -121,12 +127,12 @@ def fn_positive_finite(spark, sf_dir):
 
 @query(f"WITH {sql.attribute_ctes()} SELECT * FROM posts")
 def idx_postings(spark, sf_dir):
-    return cat.postings(cat.attributes(products(spark, sf_dir))).select("parent_asin", "attribute", "value").distinct()
+    return index(spark, sf_dir).postings.select("parent_asin", "attribute", "value").distinct()
 
 
 @query(f"WITH {sql.attribute_ctes()}, n AS (SELECT count(*) AS total FROM cat), v AS (SELECT attribute, value, count(*) AS support FROM posts GROUP BY ALL) SELECT attribute, count(*) AS values, count(*) FILTER (support >= greatest(12, ceil(total * 0.001))) AS supported, any_value(p.products) AS products, round(any_value(p.products) / any_value(total), 6) AS coverage FROM v JOIN (SELECT attribute, count(DISTINCT parent_asin) AS products FROM posts GROUP BY 1) p USING (attribute) CROSS JOIN n GROUP BY attribute")
 def idx_schema_mining(spark, sf_dir):
-    return cat.mine_schema(cat.attributes(products(spark, sf_dir)))
+    return cat.mine_schema(index(spark, sf_dir).products.select("parent_asin", "attributes"))
 
 
 _FIELD_TOKENS = " UNION ALL ".join(f"SELECT parent_asin, {i} AS field, unnest({sql.tokens(sql.FIELDS[f])}) AS term FROM cat" for i, f in enumerate(lookups.SEARCH_FIELDS))
@@ -138,8 +144,7 @@ term_fields AS (SELECT parent_asin, term, CAST(sum(1 << field) AS INT) AS mask,
 
 @query(f"WITH {sql.CAT}, {TERM_FIELDS} SELECT term, count(*) AS df, CAST(bit_or(mask) AS INT) AS mask, round(sum(tf), 6) AS tf FROM term_fields GROUP BY term")
 def idx_term_statistics(spark, sf_dir):
-    rows = cat.term_fields(products(spark, sf_dir))
-    return rows.groupBy("term").agg(F.count("*").alias("df"), F.bit_or("mask").alias("mask"), F.round(F.sum("tf"), 6).alias("tf"))
+    return index(spark, sf_dir).counts.select("term", "df", "mask", F.round("tf", 6).alias("tf"))
 
 
 _LAYER_SCOPE = " ".join(f"WHEN scope = '{s}' AND attribute IN ({sql.quoted(a)}) THEN 'category'" for s, a in lookups.SCOPE_ATTRIBUTES.items())

@@ -9,7 +9,7 @@ from tidemark.functions import messages
 from tidemark.operators import catalog as cat
 from tidemark.operators import ledger, parsing, respond, simulate, store
 from tidemark.plans import sql
-from tidemark.plans.catalog_queries import products
+from tidemark.plans.catalog_queries import index, products
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -67,7 +67,7 @@ def parse_category_and_payload(spark, sf_dir):
 
 
 def words(spark, sf_dir):
-    return parsing.vocabulary(cat.postings(cat.attributes(products(spark, sf_dir))))
+    return index(spark, sf_dir).vocabulary
 
 
 @query()
@@ -88,14 +88,14 @@ def ledger_fold(spark, sf_dir):
 
 @query()
 def respond_turns(spark, sf_dir):
-    return respond.respond(table(spark, sf_dir, "turns"), products(spark, sf_dir))
+    return respond.respond(table(spark, sf_dir, "turns"), index(spark, sf_dir))
 
 
 @query()
 def simulate_sessions(spark, sf_dir):
     feedback = store.latest_feedback(table(spark, sf_dir, "product_feedback"))
     labels = feedback.groupBy("session_id").agg(F.min("parent_asin").alias("target"))
-    return simulate.run(labels, products(spark, sf_dir))
+    return simulate.run(labels, index(spark, sf_dir))
 
 
 _LATEST = """latest AS (SELECT * REPLACE (lower(trim(session_id)) AS session_id, lower(trim(status)) AS status) FROM turns WHERE trim(session_id) <> '' AND turn IS NOT NULL
@@ -111,12 +111,6 @@ def latest_state_view(spark, sf_dir):
     return latest(spark, sf_dir).select("session_id", "turn", "request_id", "status")
 
 
-@query("SELECT DISTINCT lower(trim(session_id)) AS session_id, name, archived, epoch_us(created_at) AS created_us FROM sessions WHERE archived = 0")
-def list_sessions(spark, sf_dir):
-    rows = table(spark, sf_dir, "sessions").filter("archived = 0")
-    return rows.select(store.session_key().alias("session_id"), "name", "archived", F.unix_micros(F.col("created_at").cast("timestamp")).alias("created_us")).distinct().orderBy("created_us", "session_id")
-
-
 @query(f"WITH {_LATEST} SELECT session_id, count(*) AS turns, CASE WHEN max(turn) < 10 THEN max(turn) + 1 END AS next_turn, bool_or(coalesce(status = 'pending', false)) AS unresolved FROM latest GROUP BY 1")
 def next_turns(spark, sf_dir):
     return store.next_turns(latest(spark, sf_dir))
@@ -173,11 +167,6 @@ def identity_comparison(spark, sf_dir):
     return store.identities(table(spark, sf_dir, "sessions"))
 
 
-@query()
-def export_turns(spark, sf_dir):
-    return store.export_turns(latest(spark, sf_dir))
-
-
 @query("SELECT session_id, turn, row_number() OVER (ORDER BY updated_at DESC NULLS LAST, session_id DESC, turn DESC, request_id DESC NULLS LAST) AS age FROM turns WHERE session_id IS NOT NULL AND turn IS NOT NULL QUALIFY age <= 5000")
 def trace_ring(spark, sf_dir):
     recent = table(spark, sf_dir, "turns").filter("session_id IS NOT NULL AND turn IS NOT NULL").orderBy(F.desc_nulls_last("updated_at"), F.desc("session_id"), F.desc("turn"), F.desc_nulls_last("request_id")).limit(5000)

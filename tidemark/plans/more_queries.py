@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.engine import broadcast_if_small, number_rows, table
-from tidemark.functions import cards, lookups, text
+from tidemark.engine import broadcast_if_small, cut, number_rows, table
+from tidemark.functions import cards, lookups, messages, text
 from tidemark.operators import catalog as cat
-from tidemark.operators import metrics, policy, retrieval, sampling, simulate, store
+from tidemark.operators import hybrid, metrics, policy, retrieval, sampling, simulate, store
 from tidemark.plans import sql
 from tidemark.plans.analytics_queries import _BINS, _DIMS, binned, traces
-from tidemark.plans.catalog_queries import products
-from tidemark.plans.dialogue_queries import _FEEDBACK, _SHOWN, latest
-from tidemark.plans.search_queries import _HEAD, head
+from tidemark.plans.catalog_queries import index, products
+from tidemark.plans.dialogue_queries import _FEEDBACK, _MESSAGES, _SHOWN, _q, latest
+from tidemark.plans.search_queries import _RANKED, _WORDS, heads
 from tidemark.sources import files
 
 QUERIES: dict = {}
@@ -101,21 +101,16 @@ def set_disjointness(spark, sf_dir):
 
 @query(f"WITH {sql.attribute_ctes()} SELECT DISTINCT parent_asin FROM posts WHERE attribute = 'color' AND parent_asin NOT IN (SELECT parent_asin FROM posts WHERE attribute = 'color' AND value IN ('black', 'white'))")
 def set_present_minus_matched(spark, sf_dir):
-    colors = cat.postings(cat.attributes(products(spark, sf_dir))).filter("attribute = 'color'")
+    colors = index(spark, sf_dir).postings.filter("attribute = 'color'")
     return colors.select("parent_asin").distinct().join(colors.filter(F.col("value").isin("black", "white")).select("parent_asin"), "parent_asin", "left_anti")
 
 
-@query(f"""{_HEAD}, h AS (SELECT query_id, rank, score, list_distinct(toks) AS t FROM head),
-g AS (SELECT query_id, count(*) AS n, max(CASE WHEN rank = 10 THEN score END) - max(CASE WHEN rank = 11 THEN score END) AS gap, max(score) - min(score) AS span FROM h WHERE rank <= 30 GROUP BY 1),
+@query(f"""{_RANKED}, {_WORDS}, h AS (SELECT * FROM head WHERE NOT relaxed),
+g AS (SELECT query_id, count(*) AS n, max(CASE WHEN rank = 10 THEN score END) - max(CASE WHEN rank = 11 THEN score END) AS gap, max(score) - min(score) AS span FROM h GROUP BY 1),
 s AS (SELECT x.query_id, count(*) AS similar_pairs FROM h x JOIN h y ON x.query_id = y.query_id AND x.rank < y.rank WHERE y.rank <= 10 AND len(list_intersect(x.t, y.t)) >= 0.6::DOUBLE * len(list_distinct(x.t || y.t)) AND len(list_distinct(x.t || y.t)) > 0 GROUP BY 1)
 SELECT query_id, n >= 11 AND round(CASE WHEN span > 0 THEN abs(gap) / span ELSE 0 END, 9) <= 0.025 AND coalesce(similar_pairs, 0) >= 3 AS diverse FROM g LEFT JOIN s USING (query_id)""")
 def mmr_gate(spark, sf_dir):
-    rows = head(spark, sf_dir, 30).withColumn("terms", F.array_distinct("tokens"))
-    similar = retrieval.jaccard_pairs(rows, "terms").filter("similarity >= 0.6").groupBy("query_id").agg(F.count("*").alias("pairs"))
-    at = lambda r: F.max(F.when(F.col("rank") == r, F.col("score")))
-    gaps = rows.groupBy("query_id").agg(F.count("*").alias("n"), F.abs(at(10) - at(11)).alias("gap"), (F.max("score") - F.min("score")).alias("span"))
-    small = F.round(F.when(F.col("span") > 0, F.col("gap") / F.col("span")).otherwise(0.0), 9) <= 0.025
-    return gaps.join(similar, "query_id", "left").select("query_id", ((F.col("n") >= 11) & small & (F.coalesce("pairs", F.lit(0)) >= 3)).alias("diverse"))
+    return retrieval.mmr_gate(cut(heads(spark, sf_dir, hybrid.CANDIDATE_LIMIT)))
 
 
 _SHARES = "(VALUES " + ", ".join(f"('{k}', {v}::DOUBLE)" for k, v in cards.SCENARIOS.items()) + ") s(key, weight)"
@@ -170,8 +165,7 @@ SELECT query_id, parent_asin, hits, row_number() OVER (PARTITION BY query_id ORD
 def starter_search(spark, sf_dir):
     items = table(spark, sf_dir, "benchmark_items").select(F.col("item_id").alias("query_id"), F.explode(text.terms(F.col("text"))).alias("term"))
     asked = items.filter((F.length("term") > 1) & ~F.col("term").isin(*cards.STOPWORDS))
-    have = products(spark, sf_dir).select("parent_asin", F.explode(text.terms(text.search_text())).alias("term"))
-    hits = have.join(broadcast_if_small(asked), "term").groupBy("query_id", "parent_asin").agg(F.count("*").alias("hits"))
+    hits = index(spark, sf_dir).of(asked).select("parent_asin", "term").join(broadcast_if_small(asked), "term").groupBy("query_id", "parent_asin").agg(F.count("*").alias("hits"))
     return retrieval.top_k(hits, ["query_id"], 10, F.col("hits").desc(), F.col("parent_asin")).select("query_id", "parent_asin", "hits", "rank")
 
 
@@ -231,12 +225,24 @@ def strategy_choice(spark, sf_dir):
     return rows.select("session_id", "turn", cards.strategy(F.try_variant_get(v, "$.ask_attribute", "string"), n, F.lit(False)).alias("strategy"))
 
 
-@query("""WITH m AS (SELECT DISTINCT user_message AS message, len(regexp_extract_all(lower(user_message), '[a-z0-9]+')) AS n, regexp_matches(lower(user_message), 'under|budget') AS b, regexp_matches(lower(user_message), 'size') AS s FROM turns WHERE user_message IS NOT NULL)
-SELECT message, CASE WHEN b::INT + s::INT + least(n, 8) / 8 >= 1.25 THEN 'buying' ELSE 'browsing' END AS route FROM m""")
+_SIZED = r"\bsize\b"
+
+
+@query(f"""WITH {_MESSAGES}, w AS (SELECT message, m, {sql.tokens('message')} AS toks FROM msg),
+c AS (SELECT message, m, len({sql.terms('message')}) AS n, len({sql.matches('toks', lookups.MATERIALS)}) AS materials, len({sql.matches('toks', lookups.COLORS)}) AS colors, regexp_matches(m, '{_SIZED}') AS sized,
+  regexp_matches(m, {_q(messages.BETWEEN)}) OR regexp_matches(m, {_q(messages.DIRECTION)}) OR regexp_matches(m, {_q(messages.PLAIN)}) AS money FROM w)
+SELECT message, CASE WHEN regexp_matches(m, {_q(messages.BUYING)}) THEN 'buying' WHEN regexp_matches(m, {_q(messages.BROWSING)}) THEN 'browsing'
+  WHEN materials + colors + money::INT + money::INT + sized::INT + (materials > 0)::INT + least(n, 8) / 8 >= 1.25 THEN 'buying' ELSE 'browsing' END AS route FROM c""")
 def route_decision(spark, sf_dir):
+    """The route of each message on its own: its hint, else what it states by the fixed vocabularies."""
     rows = table(spark, sf_dir, "turns").filter("user_message IS NOT NULL").select(F.col("user_message").alias("message")).distinct()
-    low = F.lower("message")
-    return rows.select("message", policy.route(F.lit(None).cast("string"), F.lit(0), low.rlike("under|budget"), low.rlike("size"), F.lit(False), F.size(text.tokens(F.col("message"))), F.lit("browsing")).alias("route"))
+    words = text.terms(F.col("message"))
+    m = text.normalize_value(F.col("message"))
+    count = lambda vocabulary: F.size(text.matches(words, vocabulary))
+    money = F.size(messages.budgets(F.col("message"))) > 0
+    hard = count(lookups.MATERIALS) + count(lookups.COLORS) + money.cast("int")
+    hint = messages.flags(F.col("message"))["route_hint"]
+    return rows.select("message", policy.route(hint, hard, money, m.rlike(_SIZED), count(lookups.MATERIALS) > 0, F.size(words), F.lit("browsing")).alias("route"))
 
 
 @query("SELECT lower(trim(session_id)) AS session_id, turn FROM turns WHERE trim(session_id) <> '' AND regexp_matches(coalesce(trace_json, '') || coalesce(error_json, ''), '(?i)(api_?key|secret|password|authorization|cookie|traceback)')")
@@ -300,3 +306,16 @@ def benchmark_comparison(spark, sf_dir):
 def event_summary(spark, sf_dir):
     k = F.try_variant_get(F.try_parse_json("props"), "$.k", "double")
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), F.round(F.avg(k), 6).alias("k"))
+
+
+_KEPT = ("budget", "color", "material")
+
+
+@query(f"""WITH {sql.attribute_ctes()}, l AS (SELECT parent_asin, attribute, list_sort(list(value)) AS v FROM posts WHERE attribute IN ({sql.quoted(_KEPT)}) GROUP BY ALL)
+SELECT parent_asin, attribute, CASE WHEN attribute = 'budget' THEN 'lte' WHEN len(v) > 1 THEN 'in' ELSE 'eq' END AS operator, v[1] AS value, CASE WHEN attribute <> 'budget' AND len(v) > 1 THEN array_to_string(v, '|') ELSE '' END AS alternatives FROM l""")
+def fn_legacy_filters(spark, sf_dir):
+    """Each product's price, colours and materials, taken as old filters."""
+    kept = F.map_filter("attributes", lambda k, _: k.isin(*_KEPT))
+    plans = index(spark, sf_dir).products.select("parent_asin", F.transform_values(kept, lambda _, v: F.array_sort(v)).alias("filters"))
+    each = policy.from_filters(plans).select("parent_asin", F.explode("effective").alias("c"))
+    return each.select("parent_asin", "c.attribute", "c.operator", "c.value", F.array_join("c.alternatives", "|").alias("alternatives"))

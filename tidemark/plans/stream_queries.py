@@ -57,7 +57,7 @@ def stream_sessions(spark, sf_dir):
 
 @query()
 def stream_ledger(spark, sf_dir):
-    words = parsing.vocabulary(cat.postings(cat.attributes(products(spark, sf_dir))))
+    words = index(spark, sf_dir).vocabulary
     parsed = ledger.parsed_turns(table(spark, sf_dir, "turns"), words)
     folder = f"{shared_dir(spark)}/turns-{uuid.uuid4().hex}"
     parsed.write.parquet(folder)
