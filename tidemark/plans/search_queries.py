@@ -238,7 +238,7 @@ _CANDIDATES = f"""{_SOURCES}, {_ALIVE}, {_fused(lookups.ROUTE_WEIGHTS['buying'],
 first AS (SELECT query_id, parent_asin, score, rank FROM fused_ranked WHERE rank <= {hybrid.CANDIDATE_LIMIT}),
 short AS (SELECT query_id FROM plan LEFT JOIN (SELECT query_id, count(*) AS n FROM first GROUP BY 1) USING (query_id) WHERE coalesce(n, 0) < 10),
 popular AS (SELECT parent_asin, row_number() OVER (ORDER BY round(quality, 9) DESC, parent_asin) AS place FROM quality QUALIFY place <= {lookups.FALLBACK_LIMIT}),
-spare AS (SELECT query_id, parent_asin, CASE WHEN parent_asin IN (FROM shown) THEN 3 WHEN hard_met < hard_n THEN 2 ELSE 1 END AS stage, 0.0::DOUBLE AS score, place FROM short, popular JOIN judged j USING (parent_asin) WHERE j.query_id = short.query_id AND NOT EXISTS (SELECT 1 FROM first f WHERE f.query_id = short.query_id AND f.parent_asin = popular.parent_asin)),
+spare AS (SELECT j.query_id, popular.parent_asin, CASE WHEN popular.parent_asin IN (FROM shown) THEN 3 WHEN hard_met < hard_n THEN 2 ELSE 1 END AS stage, 0.0::DOUBLE AS score, place FROM short, popular JOIN judged j USING (parent_asin) WHERE j.query_id = short.query_id AND NOT EXISTS (SELECT 1 FROM first f WHERE f.query_id = short.query_id AND f.parent_asin = popular.parent_asin)),
 candidates AS (SELECT query_id, parent_asin, CAST(stage AS INT) AS stage, score, row_number() OVER (PARTITION BY query_id ORDER BY stage, place, parent_asin) AS rank
   FROM (SELECT query_id, parent_asin, 0 AS stage, score, rank AS place FROM first UNION ALL SELECT short.query_id, parent_asin, stage, score, place FROM spare short) QUALIFY stage = 0 OR rank <= 10)"""
 
