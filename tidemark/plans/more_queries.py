@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from tidemark.engine import broadcast_if_small, cut, number_rows, table
 from tidemark.functions import cards, lookups, messages, text
-from tidemark.operators import catalog as cat
 from tidemark.operators import hybrid, metrics, policy, retrieval, sampling, simulate, store
 from tidemark.plans import sql
 from tidemark.plans.analytics_queries import _BINS, _DIMS, binned, traces

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import metrics, reports
-from tidemark.plans.analytics_queries import _METRICS, _SCORED, _TWO, folded, outcomes, traces
+from tidemark.plans.analytics_queries import _METRICS, _SCORED, _TWO, outcomes, traces
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}

@@ -7,9 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from tidemark.engine import shared_dir, table
-from tidemark.operators import catalog as cat
-from tidemark.operators import ledger, parsing
-from tidemark.plans.catalog_queries import products
+from tidemark.operators import ledger
+from tidemark.plans.catalog_queries import index
 from tidemark.streaming import events
 
 QUERIES: dict = {}
