@@ -30,3 +30,15 @@ def test_mask_top_against_brute_force(spark):
         for r in retrieval.mask_top(terms, prepared, 30, part, block).orderBy("query_id", "rank").collect():
             got[r.query_id].append((r.parent_asin, r.score))
         assert got == {q: w for q, w in wanted.items()}
+
+
+def test_answers_search_in_bounded_blocks(spark, monkeypatch):
+    """A task's lists are bounded, whatever the number of turns; turns without constraints take no more than a page."""
+    rows = [(f"P{i:04d}", "Plain Zorblat", [], [], 10.0, ["Things"], {}, 4.0, 10, "Shop") for i in range(500)]
+    turns = spark.createDataFrame([("s", 1, "zorblat", datetime(2024, 1, 1))], "session_id string, turn int, user_message string, updated_at timestamp")
+    blocks, kept = [], []
+    by_part, stored = retrieval.by_part, respond.stored
+    monkeypatch.setattr(retrieval, "by_part", lambda *a: blocks.append(a[-1]) or by_part(*a))
+    monkeypatch.setattr(respond, "stored", lambda df: kept.append(df.count()) or stored(df))
+    got = respond.respond(turns, index.of_products(spark.createDataFrame(rows, PRODUCT))).collect()
+    assert len(got) == 10 and kept == [10] and blocks[0] * 450 <= 5_000_000
